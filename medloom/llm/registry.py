@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spans_queries",)
+MODULES = ("leakage_queries", "spans_queries")
 
 
 def _modules() -> list:
