@@ -19,26 +19,15 @@ def fold(text: str) -> str:
     return _MARKS.sub("", text).replace("đ", "d")
 
 
-# The precomposed Latin letters whose base letter the fold below keeps, by base letter.
-ACCENTED = {
-    "a": "àáảãạăằắẳẵặâầấẩẫậäåāą",
-    "c": "çćčĉċ",
-    "d": "đďð",
-    "e": "èéẻẽẹêềếểễệëēęěė",
-    "g": "ğĝġģ",
-    "i": "ìíỉĩịïîīįı",
-    "l": "łĺľļ",
-    "n": "ñńňņ",
-    "o": "òóỏõọôồốổỗộơờớởỡợöøōő",
-    "r": "ŕřŗ",
-    "s": "śšşŝș",
-    "t": "ťţț",
-    "u": "ùúủũụưừứửữựüûūůűų",
-    "y": "ỳýỷỹỵÿŷ",
-    "z": "źżž",
-}
-_FROM = "".join(ACCENTED.values())
-_TO = "".join(base * len(letters) for base, letters in ACCENTED.items())
+def _accented() -> tuple[str, str]:
+    """The precomposed small Latin letters and their base letters."""
+    letters = [chr(c) for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00))]
+    pairs = [(c, fold(c)) for c in letters if c == c.lower()]
+    pairs = [(c, base) for c, base in pairs if len(base) == 1 and base.isascii()]
+    return "".join(c for c, _ in pairs), "".join(base for _, base in pairs)
+
+
+_FROM, _TO = _accented()
 
 
 def fold_col(text: Column) -> Column:
