@@ -57,7 +57,7 @@ BASE = {"mass": "ug", "volume": "ul", "activity": "iu"}
 _UNIT = "|".join(sorted(map(re.escape, UNITS), key=len, reverse=True))
 _NUMBER = r"\d+(?:[.,]\d+)*"
 _TOKEN = re.compile(
-    rf"(?P<number>{_NUMBER})\s*(?:(?P<times>{'|'.join(MULTIPLIERS)})\s*)?(?P<unit>(?:{_UNIT})(?![a-z]))?"
+    rf"(?<![a-z])(?P<number>{_NUMBER})\s*(?:(?P<times>{'|'.join(MULTIPLIERS)})\s*)?(?P<unit>(?:{_UNIT})(?![a-z]))?"
     rf"|(?<![a-z])(?P<bare>(?:{_UNIT})(?![a-z]))"
 )
 _SHARE = re.compile(r"\s*(?:[/+&,;-]|va|and)\s*")
