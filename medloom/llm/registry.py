@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("neighbours_queries", "survivors_queries", "canonical_queries", "leakage_queries", "mixing_queries", "spans_queries")
+MODULES = ("neighbours_queries", "survivors_queries", "matching_queries", "canonical_queries", "leakage_queries", "mixing_queries", "spans_queries")
 
 
 def _modules() -> list:
