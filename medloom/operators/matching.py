@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from medloom.functions.numeric import clamp
 from medloom.operators.dedupe import top_per_group
 
 
@@ -28,6 +28,7 @@ def score_candidates(asked: DataFrame, bank: DataFrame, key: str, vector: str, l
     blocks = max(1, -(-n // block))
     refs = bank.select(F.col(label).alias("candidate"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(label), F.lit(blocks)).alias("part"))
     kinds = dict(asked.dtypes)[key], dict(refs.dtypes)["candidate"]
+    arrow = to_arrow_type(refs.schema["candidate"].dataType)
     best = None
     for part in range(blocks):
         rows = refs.where(F.col("part") == part).orderBy("candidate").collect()
@@ -40,17 +41,17 @@ def score_candidates(asked: DataFrame, bank: DataFrame, key: str, vector: str, l
             for batch in batches:
                 x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, held.shape[0])
                 top = np.maximum.reduceat(x @ held, first, axis=1)
+                top = np.floor(np.clip(top, 0, 1) * 1e4 + 0.5) / 1e4
                 at = np.argsort(-top, axis=1, kind="stable")[:, :k]
                 row = np.repeat(np.arange(len(x)), at.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(names[at.ravel()]), pa.array(np.take_along_axis(top, at, 1).ravel())], names=[key, "candidate", "base"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(names[at.ravel()]).cast(arrow), pa.array(np.take_along_axis(top, at, 1).ravel())], names=[key, "candidate", "score"])
 
         whole = asked.where(F.size(vector) == held.shape[0]).select(key, F.col(vector).cast("array<double>").alias("v"))
-        scored = whole.mapInArrow(score, f"{key} {kinds[0]}, candidate {kinds[1]}, base double")
+        scored = whole.mapInArrow(score, f"{key} {kinds[0]}, candidate {kinds[1]}, score double")
         best = scored if best is None else best.unionByName(scored)
     if best is None:
         return asked.limit(0).select(key, F.lit(None).cast(kinds[1]).alias("candidate"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    ranked = best.withColumn("score", clamp(F.col("base"), 4)).drop("base")
-    return top_per_group(ranked, [key], [F.desc("score"), F.col("candidate")], k, "rank")
+    return top_per_group(best, [key], [F.desc("score"), F.col("candidate")], k, "rank")
 
 
 def mark_extra(assigned: DataFrame, plan: str, expected: str, order: list[Column], status: str = "status") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("nested", "units")
+MODULES = ("relational", "nested", "units")
 
 
 def _modules() -> list:

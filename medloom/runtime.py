@@ -46,3 +46,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/medloom/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Passes:
+    """A table that grows pass by pass in the shared folder and is read as one scan, so that plans stay short."""
+
+    def __init__(self, spark: SparkSession, label: str, schema: str) -> None:
+        self.spark, self.schema, self.paths = spark, schema, []
+        self.folder = f"{checkpoint_dir(spark)}/medloom/{label}-{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame) -> None:
+        path = f"{self.folder}/pass={len(self.paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*self.paths)
