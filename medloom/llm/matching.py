@@ -23,7 +23,6 @@ table are ever compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 
 from medloom.functions.quantity import Quantity, bare_number, of, quantities, unit_beside
 from medloom.llm.canonical import list_key, segments, sound
-from medloom.runtime import materialise
+from medloom.runtime import Passes, materialise
 
 RECORD = "tbl string, id bigint, brand string, strength string, strength_rule string, name_strength string, ingredients array<string>, texts array<string>"
 
@@ -114,8 +113,10 @@ def cascade(records: DataFrame, catalogue: DataFrame, label: str, rules: tuple =
     ``catalogue``: ``brand_id``, ``brand_key``, ``said`` (its ingredients as they sound). A rule that meets several
     entries leaves the record to the next.
     """
-    left, resolved = records, []
+    schema = "tbl string, id bigint, brand_id string, rule string"
+    passes = Passes(records.sparkSession, label, schema)
     for rule, keys, from_texts, ingredient in rules:
+        left = records.join(passes.table(), ["tbl", "id"], "left_anti") if passes.paths else records
         if from_texts:
             asked = left.select("tbl", "id", "said", F.explode("texts").alias("from")).select("tbl", "id", "said", F.explode(keys(F.col("from"))).alias("k"))
         else:
@@ -125,10 +126,8 @@ def cascade(records: DataFrame, catalogue: DataFrame, label: str, rules: tuple =
         if ingredient:
             met = met.where(F.arrays_overlap("said", "has"))
         one = met.groupBy("tbl", "id").agg(F.min("brand_id").alias("brand_id"), F.max("brand_id").alias("other")).where("brand_id = other")
-        done = materialise(one.select("tbl", "id", "brand_id", F.lit(rule).alias("rule")), f"{label}-{rule}")
-        resolved.append(done)
-        left = left.join(done, ["tbl", "id"], "left_anti")
-    return reduce(DataFrame.union, resolved)
+        passes.add(one.select("tbl", "id", "brand_id", F.lit(rule).alias("rule")))
+    return passes.table()
 
 
 def match_products(records: DataFrame, brands: DataFrame) -> DataFrame:
