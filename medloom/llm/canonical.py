@@ -114,7 +114,7 @@ def fuzzy(keys: DataFrame, entries: DataFrame, threshold: float, margin: float,
     entries = entries.select("entry_id", "kind", F.col("entry_key").alias("spelt"), sound(F.col("entry_key")).alias("entry_key"))
     held = entries.select("entry_id", "kind", "spelt", "entry_key", F.length("entry_key").alias("m"), F.inline(_grams(F.col("entry_key"))).alias("gram", "place"))
     near = (F.abs(F.col("at") - F.col("place")) <= drift) & (F.abs(F.col("n") - F.col("m")) <= drift)
-    shared = asked.join(held, "gram").where(near).groupBy("key", "said", "entry_id", "kind", "spelt", "entry_key").agg(F.count("*").alias("grams"))
+    shared = asked.join(held.hint("merge"), "gram").where(near).groupBy("key", "said", "entry_id", "kind", "spelt", "entry_key").agg(F.count("*").alias("grams"))
     shared = shared.where((F.col("grams") >= 2) | (F.length("said") <= 9)).drop("grams")
     weights = _weights(entries)
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.functions.quantity import Quantity, bare_number, of, quantities, unit_beside
@@ -122,7 +122,7 @@ def cascade(records: DataFrame, catalogue: DataFrame, label: str, rules: tuple =
         else:
             asked = left.select("tbl", "id", "said", F.explode(keys(F.col("brand"))).alias("k"))
         held = catalogue.select("brand_id", F.col("said").alias("has"), F.explode(keys(F.col("brand_key"))).alias("k"))
-        met = asked.join(held, "k")
+        met = asked.join(held.hint("merge"), "k")  # its size is not that of its source: never broadcast
         if ingredient:
             met = met.where(F.arrays_overlap("said", "has"))
         one = met.groupBy("tbl", "id").agg(F.min("brand_id").alias("brand_id"), F.max("brand_id").alias("other")).where("brand_id = other")
@@ -148,7 +148,7 @@ def match_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     votes = materialise(votes.withColumn("said", F.coalesce("said", F.array().cast("array<string>"))), "votes")
     near = votes.select("brand", "n", F.explode(less_two(sound(F.col("brand")))).alias("k"))
     stronger = near.select("k", F.col("brand").alias("better"), F.col("n").alias("m"))
-    weak = near.join(stronger, "k").where((F.col("m") > F.col("n")) & (F.col("better") != F.col("brand"))).select("brand").distinct()
+    weak = near.join(stronger.hint("merge"), "k").where((F.col("m") > F.col("n")) & (F.col("better") != F.col("brand"))).select("brand").distinct()
     own = votes.join(weak, "brand", "left_anti").select(F.concat(F.lit("O:"), "brand").alias("brand_id"), F.col("brand").alias("brand_key"), "said")
     found = materialise(known.union(cascade(rest, own, "own")), "resolved")
     products = records.join(found, ["tbl", "id"])

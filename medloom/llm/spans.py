@@ -152,7 +152,7 @@ class SharedSpans:
 
         direct = side(few, "a").join(side(few, "b"), "fp").where("class_a < class_b")
         keys = _span_keys(many, need)
-        met = keys.withColumnRenamed("class", "class_a").join(keys.withColumnRenamed("class", "class_b"), ["fp", "key"])
+        met = keys.withColumnRenamed("class", "class_a").join(keys.withColumnRenamed("class", "class_b").hint("merge"), ["fp", "key"])
         met = met.where("class_a < class_b").select("fp", "class_a", "class_b").dropDuplicates()
         keyed = met.join(side(many, "a"), ["fp", "class_a"]).join(side(many, "b"), ["fp", "class_b"])
         self.factors = materialise(_factors(direct.unionByName(keyed), need), "factors")
