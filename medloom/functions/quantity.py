@@ -164,10 +164,8 @@ def unit_beside(text: str | None, value: Fraction) -> str | None:
 
 
 def unit_named(text: str | None) -> str | None:
-    """The unit that ``text`` names without a number of its own."""
+    """The unit that ``text`` names without a number of its own. 'đơn vị' (unit) is a unit only where no other follows."""
     if not text:
         return None
-    for t in _TOKEN.finditer(plain(text)):
-        if t["bare"]:
-            return t["bare"]
-    return None
+    named = [t["bare"] for t in _TOKEN.finditer(plain(text)) if t["bare"]]
+    return next((u for u in named if u != "don vi"), named[0] if named else None)

@@ -56,8 +56,9 @@ def merge_first_filled(records: DataFrame, key: str, rank: str, scalars: Sequenc
     """One profile per key: of each scalar the first value by rank that is not blank; arrays joined without repeats, in rank order."""
     picks = [F.min_by(c, F.when(F.trim(F.col(c).cast("string")) != "", F.struct(rank, F.col(c)))).alias(c) for c in scalars]
     for c in arrays:
-        ordered = F.array_sort(F.collect_list(F.struct(rank, c)))
-        picks.append(F.array_distinct(F.flatten(F.transform(ordered, lambda s, c=c: s[c]))).alias(c))
+        ordered = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("_rank"), F.col(c).alias("_item"))))
+        filled = F.filter(ordered, lambda s: s["_item"].isNotNull())
+        picks.append(F.array_distinct(F.flatten(F.transform(filled, lambda s: s["_item"]))).alias(c))
     return records.groupBy(key).agg(*picks)
 
 

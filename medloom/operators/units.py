@@ -95,7 +95,7 @@ def _features(tables: Sequence[str]) -> Column:
     return array_to_vector(
         F.array(
             F.log10(F.greatest(F.coalesce("value", F.lit(0.0)), F.lit(1e-6))),
-            F.col("value") % 1,
+            F.coalesce(F.col("value") % 1, F.lit(0.0)),
             *[flag(F.col("tbl") == t) for t in tables],
             *[flag((bucket == k) & F.col("category").isNotNull()) for k in range(CATEGORY_BUCKETS)],
             *[flag(F.col("evidence") == u) for u in LABELS],
