@@ -92,41 +92,45 @@ def less_two(key: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(less_one(key), less_one)))
 
 
-SPELT, SOUND, SCAN = (lambda k: F.array(k)), (lambda k: F.array(sound(k))), (lambda k: F.array(scan(k)))
-ONE, TWO = (lambda k: less_one(k)), (lambda k: less_two(k))
-# Rule: name, key function, whether it starts from the sample texts, whether the ingredient must agree.
-RULES = (
-    ("spelt", SPELT, False, False),
-    ("sound", SOUND, False, False),
-    ("scan", SCAN, False, False),
-    ("texts", SPELT, True, False),
-    ("one+ingredient", ONE, False, True),
-    ("one", ONE, False, False),
-    ("two+ingredient", TWO, False, True),
-    ("two", TWO, False, False),
-)
-
-
-def cascade(records: DataFrame, catalogue: DataFrame, label: str, rules: tuple = RULES) -> DataFrame:
+# Rules in order of strength, by pass: those of one pass share a join, records that it resolves leave before the next.
+PASSES = (("spelt", "sound", "scan", "texts"), ("one",), ("two",))
+RANK = {rule: n for n, rule in enumerate(("spelt", "sound", "scan", "texts", "one+ingredient", "one", "two+ingredient", "two"))}
+_KEYS = {"spelt": F.array, "sound": lambda k: F.array(sound(k)), "scan": lambda k: F.array(scan(k)), "texts": F.array, "one": less_one, "two": less_two}
+
+
+def _tagged(rules: tuple[str, ...], key: Column, texts: Column | None) -> Column:
+    """Keys with the rule they belong to; the rule 'texts' takes the keys of the sample texts where there are some."""
+
+    def tag(rule: str) -> Column:
+        keys = texts if rule == "texts" and texts is not None else _KEYS[rule](key)
+        return F.transform(keys, lambda k: F.struct(F.lit(rule).alias("rule"), k.alias("k")))
+
+    return F.inline(F.array_distinct(F.concat(*[tag(r) for r in rules])))
+
+
+def cascade(records: DataFrame, catalogue: DataFrame, label: str, skip: tuple[str, ...] = ()) -> DataFrame:
     """``tbl``, ``id``, ``brand_id``, ``rule`` of the records that some rule resolves to one entry of ``catalogue``.
 
     ``catalogue``: ``brand_id``, ``brand_key``, ``said`` (its ingredients as they sound). A rule that meets several
-    entries leaves the record to the next.
+    entries leaves the record to the next. Rules in ``skip`` resolve nothing.
     """
-    schema = "tbl string, id bigint, brand_id string, rule string"
-    passes = Passes(records.sparkSession, label, schema)
-    for rule, keys, from_texts, ingredient in rules:
+    passes = Passes(records.sparkSession, label, "tbl string, id bigint, brand_id string, rule string")
+    rank = F.create_map(*[F.lit(x) for r, n in RANK.items() for x in (r, n)])
+    for rules in PASSES:
         left = records.join(passes.table(), ["tbl", "id"], "left_anti") if passes.paths else records
-        if from_texts:
-            asked = left.select("tbl", "id", "said", F.explode("texts").alias("from")).select("tbl", "id", "said", F.explode(keys(F.col("from"))).alias("k"))
-        else:
-            asked = left.select("tbl", "id", "said", F.explode(keys(F.col("brand"))).alias("k"))
-        held = catalogue.select("brand_id", F.col("said").alias("has"), F.explode(keys(F.col("brand_key"))).alias("k"))
-        met = asked.join(held.hint("merge"), "k")  # its size is not that of its source: never broadcast
-        if ingredient:
-            met = met.where(F.arrays_overlap("said", "has"))
-        one = met.groupBy("tbl", "id").agg(F.min("brand_id").alias("brand_id"), F.max("brand_id").alias("other")).where("brand_id = other")
-        passes.add(one.select("tbl", "id", "brand_id", F.lit(rule).alias("rule")))
+        asked = left.select("tbl", "id", "said", _tagged(rules, F.col("brand"), F.col("texts")))
+        held = catalogue.select("brand_id", F.col("said").alias("has"), _tagged(rules, F.col("brand_key"), None))
+        met = asked.join(held.hint("merge"), ["rule", "k"])  # the exploded side is larger than its source: never broadcast
+        agrees = F.when(F.arrays_overlap("said", "has"), F.col("brand_id"))
+        met = met.groupBy("tbl", "id", "rule").agg(
+            F.min("brand_id").alias("lo"), F.max("brand_id").alias("hi"), F.min(agrees).alias("lo_i"), F.max(agrees).alias("hi_i")
+        )
+        edited = F.col("rule").isin("one", "two")
+        rule = F.when(edited & (F.col("lo_i") == F.col("hi_i")), F.concat("rule", F.lit("+ingredient"))).when(F.col("lo") == F.col("hi"), F.col("rule"))
+        entry = F.when(rule.endswith("+ingredient"), F.col("lo_i")).otherwise(F.col("lo"))
+        sure = met.select("tbl", "id", rule.alias("rule"), entry.alias("brand_id")).where(F.col("rule").isNotNull() & ~F.col("rule").isin(*skip, ""))
+        best = sure.groupBy("tbl", "id").agg(F.min_by(F.struct("brand_id", "rule"), rank[F.col("rule")]).alias("b"))
+        passes.add(best.select("tbl", "id", "b.brand_id", "b.rule"))
     return passes.table()
 
 
@@ -139,7 +143,7 @@ def match_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     records = materialise(records.withColumn("said", F.transform("ingredients", sound)), "records")
     listed = brands.select(F.concat(F.lit("L:"), "brand_key").alias("brand_id"), "brand_key", "said").dropDuplicates(["brand_id"])
     # Two edits alone, without the ingredient, met a wrong listed brand more often than the right one.
-    known = cascade(records, listed, "listed", RULES[:-1])
+    known = cascade(records, listed, "listed", skip=("two",))
     rest = records.join(known, ["tbl", "id"], "left_anti")
     # Brands that no list has: their own frequent spellings are the catalogue.
     told = rest.select("brand", F.explode("said").alias("one")).groupBy("brand", "one").agg(F.count("*").alias("m"))
