@@ -175,14 +175,14 @@ def match_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     plain = judged.groupBy(family.alias("family")).agg(smooth(agrees).alias("p_plain"))
     backing = judged.where(uses).groupBy("rule").agg(smooth(support).alias("p_support"))
     named = judged.select("rule", family.alias("family")).distinct().join(plain, "family").join(backing, "rule", "left")
-    brand_precision = named.select("rule", F.greatest("p_plain", "p_support").alias("p_brand"))
+    precision = {r.rule: r.p for r in named.select("rule", F.greatest("p_plain", "p_support").alias("p")).collect()}  # a row per rule
     # And of the strength rules, where dosage and name both tell one.
     both = products.where("strength_rule = 'dosage' AND name_strength IS NOT NULL")
     p_name = both.agg((F.coalesce(F.sum((F.col("strength") == F.col("name_strength")).cast("int")), F.lit(0)) + 1) / (F.count("*") + 2)).first()[0]
     p_strength = F.when(F.col("strength_rule") == "dosage", 1.0).otherwise(F.lit(float(p_name)))
 
-    sure = products.where("strength IS NOT NULL").join(brand_precision, "rule", "left")
-    sure = sure.select("tbl", "id", "brand_id", "strength", (F.coalesce("p_brand", F.lit(0.5)) * p_strength).alias("p"))
+    p_brand = F.create_map(*[F.lit(x) for r in RANK for x in (r, float(precision.get(r, 0.5)))])[F.col("rule")]
+    sure = products.where("strength IS NOT NULL").select("tbl", "id", "brand_id", "strength", (p_brand * p_strength).alias("p"))
     a, b = (sure.select("brand_id", "strength", *[F.col(c).alias(f"{s}_{c}") for c in ("tbl", "id", "p")]) for s in ("left", "right"))
     pairs = a.join(b, ["brand_id", "strength"]).where("left_tbl < right_tbl")
     return pairs.select("left_tbl", "left_id", "right_tbl", "right_id", F.round(F.col("left_p") * F.col("right_p"), 4).alias("confidence"))
