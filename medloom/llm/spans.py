@@ -66,6 +66,21 @@ def reference_blocks(docs: DataFrame, id_col: str, text_col: str, min_chars: int
     return source.where(f"doc IS NOT NULL AND length(text) >= {min_chars}").mapInArrow(run, "fp bigint, doc bigint, pos int")
 
 
+def _surroundings(docs: DataFrame, block: int, need: int) -> DataFrame:
+    """The ``need`` characters before and after each block, one row per block; a text travels once, however many it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, text, fps, places in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(fp, doc, p, text[max(0, p - need) : p], text[p + block : p + block + need]) for fp, p in zip(fps, places)]
+            for start in range(0, len(out), 20_000):
+                columns = zip(zip(*out[start : start + 20_000]), (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["fp", "doc", "pos", "left", "right"])
+
+    return docs.mapInArrow(run, "fp bigint, doc bigint, pos int, left string, right string")
+
+
 def _common(a: str, b: str) -> int:
     """The length of the common prefix."""
     if a == b:
@@ -135,9 +150,8 @@ class SharedSpans:
         shared = blocks.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("fp")
         found = blocks.join(shared, "fp")
         text = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where(f"doc IS NOT NULL AND length(text) >= {min_chars}")
-        left = F.expr(f"substring(text, greatest(pos - {need}, 0) + 1, least(pos, {need}))")
-        right = F.expr(f"substring(text, pos + {block} + 1, {need})")
-        around = found.join(text, "doc").select("fp", "doc", "pos", left.alias("left"), right.alias("right"))
+        places = found.groupBy("doc").agg(F.collect_list(F.struct("fp", "pos")).alias("places"))  # as many as its text is long
+        around = _surroundings(places.join(text, "doc").select("doc", "text", "places.fp", "places.pos"), block, need)
         around = around.withColumn("class", F.xxhash64("fp", "left", "right"))
         around = materialise(around.dropDuplicates(["class", "doc", "pos"]), "occurrences")
         self.members = around.select("class", "doc", "pos")
