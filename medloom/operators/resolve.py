@@ -61,3 +61,62 @@ def variant_fallback(variants: DataFrame, key: str, variant: str, ordinal: str,
     """The first variant of each query, by ``ordinal``, that equals a name."""
     hits = variants.join(names, F.lower(variant) == F.lower(name))
     return top_per_group(hits, [key], [F.col(ordinal), F.col(name)])
+
+
+def starts_either(a: Column, b: Column, n: int = 8) -> Column:
+    """One text starts with the first ``n`` characters of the other; empty texts match nothing."""
+    return (a != "") & (b != "") & (F.startswith(a, F.substring(b, 1, n)) | F.startswith(b, F.substring(a, 1, n)))
+
+
+def alias_match(a: Column, b: Column, shortest: int = 5) -> Column:
+    """Equal aliases, or one of at least ``shortest`` characters contained in the other."""
+    short = F.when(F.length(a) <= F.length(b), F.length(a)).otherwise(F.length(b))
+    return (a == b) | ((short >= shortest) & contains_either(a, b))
+
+
+def alias_pairs(left: DataFrame, left_key: str, right: DataFrame, right_key: str, alias: str = "alias", shortest: int = 5) -> DataFrame:
+    """Pairs of keys of which any two aliases match.
+
+    Containment of at least ``shortest`` characters needs a common gram of that length, so candidates come from an
+    equi-join on grams; equal aliases, however short, from one on the alias.
+    """
+    a = left.select(F.col(left_key).alias("_l"), F.lower(F.trim(alias)).alias("_a")).where("_a <> ''").distinct()
+    b = right.select(F.col(right_key).alias("_r"), F.lower(F.trim(alias)).alias("_b")).where("_b <> ''").distinct()
+
+    def grams(df: DataFrame, c: str) -> DataFrame:
+        every = F.transform(F.sequence(F.lit(1), F.length(c) - shortest + 1), lambda i: F.substring(F.col(c), i, F.lit(shortest)))
+        return df.where(F.length(c) >= shortest).select("*", F.explode(F.array_distinct(every)).alias("_g"))
+
+    held = grams(a, "_a").join(grams(b, "_b").hint("merge"), "_g").where(alias_match(F.col("_a"), F.col("_b"), shortest)).select("_l", "_r")
+    equal = a.join(b, a["_a"] == b["_b"]).select("_l", "_r")
+    return held.union(equal).distinct().withColumnsRenamed({"_l": left_key, "_r": right_key})
+
+
+def with_fallback(rows: DataFrame, references: DataFrame, key: str, fallback: str, value: str) -> DataFrame:
+    """``value`` by ``key``, else by the lower-cased ``fallback``; of several the least."""
+    by_key = references.groupBy(key).agg(F.min(value).alias("_one"))
+    by_name = references.groupBy(F.lower(fallback).alias("_name")).agg(F.min(value).alias("_two"))
+    joined = rows.join(by_key, key, "left").join(by_name, F.lower(rows[fallback]) == F.col("_name"), "left")
+    return joined.withColumn(value, F.coalesce("_one", "_two")).drop("_one", "_two", "_name")
+
+
+def best_variant(asked: DataFrame, query: str, names: DataFrame, key: str, least: float = 65.0, k: int = 5) -> DataFrame:
+    """The best catalogue key for each scanned name, over its variants.
+
+    Variants in order of priority: as written, cleaned, without and within parentheses. The ``k`` most similar keys of a
+    variant (token-sort ratio) are taken before the guards: ``least`` and a common meaningful word. Then whether
+    strengths fit, the variant's priority and the ratio decide. Candidates share a trigram with the variant.
+    """
+    from medloom.functions import text
+    from medloom.functions.similarity import token_sort_ratio
+
+    q = F.col(query)
+    forms = F.array(*[F.struct(F.lit(n).alias("priority"), v.alias("variant")) for n, v in enumerate((F.lower(text.squeeze(q)), text.clean_scanned(q), text.clean_scanned(text.without_parentheses(q)), text.clean_scanned(text.in_parentheses(q))))])
+    variants = asked.select(query).distinct().select(query, F.inline(forms)).where(F.length("variant") >= 3)
+    near = trigram_join(variants, "variant", names.select(key).distinct(), key, 0.05)
+    scored = near.withColumn("ratio", token_sort_ratio(F.col("variant"), F.col(key)))
+    top = top_per_group(scored, ["variant"], [F.desc("ratio"), F.col(key)], k)
+    held = variants.join(top, "variant").where((F.col("ratio") >= least) & text.shares_root(q, F.col(key)))
+    fits = text.strength_fits(q, F.col(key)).cast("int")
+    best = top_per_group(held, [query], [fits.desc(), F.desc("priority"), F.desc("ratio"), F.col(key)])
+    return best.select(query, key, F.round(F.col("ratio") / 100, 3).alias("score"))

@@ -130,3 +130,21 @@ def test_quality(spark):
     assert [r.errors for r in quality.validate(df, {"k": F.col("k") == "a", "n": F.col("n") < 3}).orderBy("n").collect()] == [[], [], ["k", "n"]]
     assert quality.page(df, [F.col("n")], 2, 2).count() == 1
     assert json.loads(quality.precision_recall(df, F.col("n") < 3, F.col("n") > 1).toJSON().first())["precision"] == 0.5
+
+
+def test_aliases_and_fallbacks(spark):
+    left = spark.createDataFrame([(1, "Paracetamol"), (2, "abc"), (3, " ")], "l int, alias string")
+    right = spark.createDataFrame([(7, "paracetamol 500"), (8, "ABC"), (9, "xabcx")], "r int, alias string")
+    assert rows(resolve.alias_pairs(left, "l", right, "r")) == [(1, 7), (2, 8)]
+    one = spark.createDataFrame([("abcdefgh-x", "abcdefgh"), ("abc", "abd"), ("", "a")], "a string, b string")
+    assert [r[0] for r in one.select(resolve.starts_either(F.col("a"), F.col("b"))).collect()] == [True, False, False]
+    refs = spark.createDataFrame([("P", "One", 5), ("Q", "two", 6)], "plan string, name string, v int")
+    asked = spark.createDataFrame([("P", "x"), ("Z", "TWO"), ("Z", "none")], "plan string, name string")
+    assert {(r.plan, r.name): r.v for r in resolve.with_fallback(asked, refs, "plan", "name", "v").collect()} == {("P", "x"): 5, ("Z", "TWO"): 6, ("Z", "none"): None}
+
+
+def test_scanned_name_finds_its_entry(spark):
+    names = spark.createDataFrame([("losartan 50mg",), ("cozaar 50mg",), ("cozaar",), ("viên nén khác",)], "search_key string")
+    asked = spark.createDataFrame([("Losartan ( Cozaar 50 mg ) 50 mg",), ("zzz",)], "q string")
+    best = resolve.best_variant(asked, "q", names, "search_key").collect()
+    assert len(best) == 1 and best[0].search_key in {"losartan 50mg", "cozaar 50mg", "cozaar"} and best[0].score >= 0.65
