@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from medloom.functions.quantity import BASE, UNITS, bare_number, of, plain, quantities, unit_beside, unit_named
-from medloom.runtime import materialise
+from medloom.runtime import hash_sample, materialise
 
 PARSED = "tbl string, row_key string, category string, part_no bigint, unit string, amount bigint, value double, written string, evidence string, checked_unit string, checked_amount bigint"
 
@@ -106,19 +106,13 @@ def _features(tables: Sequence[str]) -> Column:
 def predict_units(parsed: DataFrame, tables: Sequence[str], fit_rows: int = 20_000, trees: int = 20, depth: int = 7, seed: int = 11) -> DataFrame:
     """The bare numbers of ``parsed`` with ``predicted`` unit and calibrated ``confidence``.
 
-    The ensemble is fitted on at most ``fit_rows`` labelled rows, those with the smallest key hashes: three quarters
-    train the trees, a quarter the isotonic calibration. With fewer than two units in the sample there is no model:
+    The ensemble is fitted on at most ``fit_rows`` labelled rows, chosen by key hash: three quarters train the trees, a quarter the isotonic calibration. With fewer than two units in the sample there is no model:
     ``predicted`` is null and ``confidence`` 0.
     """
     bare = parsed.where("unit IS NULL")
     label = F.element_at(F.create_map(*[F.lit(x) for i, u in enumerate(LABELS) for x in (u, float(i))]), F.col("written"))
-    sample = materialise(
-        parsed.where("written IS NOT NULL")
-        .select("tbl", "row_key", "category", "value", "evidence", label.alias("label"), F.xxhash64("row_key").alias("h"))
-        .orderBy("h", "row_key")
-        .limit(fit_rows),
-        "unit-sample",
-    )
+    labelled = parsed.where("written IS NOT NULL").select("tbl", "row_key", "category", "value", "evidence", label.alias("label"), F.xxhash64("row_key").alias("h"))
+    sample = materialise(hash_sample(labelled, ["tbl", "row_key"], fit_rows), "unit-sample")
     if len(sample.select("label").distinct().limit(2).collect()) < 2:
         return bare.withColumns({"predicted": F.lit(None).cast("string"), "confidence": F.lit(0.0)})
     sample = sample.withColumn("features", _features(tables))

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,3 +63,16 @@ class Passes:
 
     def table(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(*self.paths)
+
+
+def hash_sample(df: DataFrame, by: list[str], most: int, total: int | None = None) -> DataFrame:
+    """At most ``most`` rows, chosen by the hash of ``by``: the same rows whatever the layout.
+
+    The share to keep is fixed beforehand from the count, so that no more than about ``most`` rows of all partitions
+    together reach the final, exact cut. Rows with equal ``by`` stay or go together until that cut.
+    """
+    total = df.count() if total is None else total
+    steps = 1 << 20
+    keep = steps if total <= most else max(1, int(steps * 0.97 * most / total))
+    h = F.xxhash64(*by)
+    return df.where(F.pmod(h, F.lit(steps)) < keep).orderBy(h, *by).limit(most)
