@@ -69,7 +69,7 @@ def hash_sample(df: DataFrame, by: list[str], most: int, total: int | None = Non
     """At most ``most`` rows, chosen by the hash of ``by``: the same rows whatever the layout.
 
     The share to keep is fixed beforehand from the count, so that no more than about ``most`` rows of all partitions
-    together reach the final, exact cut. Rows with equal ``by`` stay or go together until that cut.
+    together reach the final, exact cut. ``by`` should be (nearly) unique: rows with equal ``by`` stay or go together until that cut.
     """
     total = df.count() if total is None else total
     steps = 1 << 20
