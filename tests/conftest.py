@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -46,7 +47,7 @@ def comparable(pdf):
     """Rows as sorted tuples, by column name, floats to six places."""
 
     def cell(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return None
         if isinstance(v, float):
             return round(v, 6)
