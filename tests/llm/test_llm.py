@@ -84,6 +84,25 @@ def test_neighbours_recall(spark):
     assert len(every & loose) >= 0.9 * len(every)
 
 
+def test_neighbours_are_whole_however_short_the_walk(spark):
+    from medloom.llm.neighbours import most_similar
+
+    rows = vectors()
+    for least in (-1, 0.7):
+        got = {(r.id, r.neighbour) for r in most_similar(frame(spark, rows), k=5, min_cosine=least, max_cells=1, block=64).collect()}
+        assert got == brute_neighbours(rows, 5, least)
+
+
+def test_neighbours_of_crowds_without_a_bar(spark):
+    from medloom.llm.neighbours import reaching
+
+    near = np.random.default_rng(2).random((30, 200), dtype=np.float32)
+    for axis in (0, 1):
+        best = {(r, c) for r, c in zip(*np.nonzero(near >= np.expand_dims(np.sort(near, axis=1 - axis).take(-4, axis=1 - axis), 1 - axis)))}
+        got = set(zip(*reaching(near, np.full(near.shape[axis], -1, dtype=np.float32), 3, axis)))
+        assert best <= got and len(got) < 1.1 * len(best)
+
+
 def test_neighbours_copies_and_unusable(spark):
     from medloom.llm.neighbours import most_similar
 
