@@ -8,7 +8,8 @@ keys of its sample texts, keys with one letter left out, with two left out (one
 and two edits meet in such keys), the last two first together with the
 ingredient and then alone where only one candidate is met. Brands outside the
 catalogue are resolved among themselves the same way, rare spellings to frequent
-ones. Records of one product in different tables match.
+ones; of equally frequent ones the spelling that names an ingredient, then the smaller
+key, is the entry. Records of one product in different tables match.
 
 Confidence: each rule's precision, counted on the records that it resolves and
 whose ingredient is known on both sides (a rule that uses the ingredient has the
@@ -150,11 +151,19 @@ def match_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     usual = told.groupBy("brand").agg(F.array(F.max_by("one", F.struct("m", "one"))).alias("said"))
     votes = rest.groupBy("brand").agg(F.count("*").alias("n")).join(usual, "brand", "left")
     votes = materialise(votes.withColumn("said", F.coalesce("said", F.array().cast("array<string>"))), "votes")
-    near = votes.select("brand", "n", F.explode(less_two(sound(F.col("brand")))).alias("k"))
-    stronger = near.select("k", F.col("brand").alias("better"), F.col("n").alias("m"))
-    weak = near.join(stronger.hint("merge"), "k").where((F.col("m") > F.col("n")) & (F.col("better") != F.col("brand"))).select("brand").distinct()
+    near = votes.select("brand", "n", "said", F.explode(less_two(sound(F.col("brand")))).alias("k"))
+    stronger = near.select("k", F.col("brand").alias("better"), F.col("n").alias("m"), F.col("said").alias("has"))
+    # Of equally frequent spellings one gives way, unless they name different ingredients.
+    named, other = F.size("said") > 0, F.size("has") > 0
+    tied = (F.col("m") == F.col("n")) & (~named | ~other | F.arrays_overlap("said", "has"))
+    gives_way = (F.col("m") > F.col("n")) | (tied & ((other & ~named) | ((other == named) & (F.col("better") < F.col("brand")))))
+    weak = near.join(stronger.hint("merge"), "k").where(gives_way & (F.col("better") != F.col("brand"))).select("brand").distinct()
+    weak = materialise(weak, "weak")
     own = votes.join(weak, "brand", "left_anti").select(F.concat(F.lit("O:"), "brand").alias("brand_id"), F.col("brand").alias("brand_key"), "said")
-    found = materialise(known.union(cascade(rest, own, "own")), "resolved")
+    met = cascade(rest, own, "own")
+    # A spelling that gave way and met no entry, or several, still stands for itself.
+    left = rest.join(weak, "brand").join(met, ["tbl", "id"], "left_anti").select("tbl", "id", F.concat(F.lit("O:"), "brand").alias("brand_id"), F.lit("spelt").alias("rule"))
+    found = materialise(known.union(met).union(left), "resolved")
     products = records.join(found, ["tbl", "id"])
 
     # Labelled precision of the brand rules.

@@ -197,6 +197,23 @@ def test_matching_rules(spark):
     assert match_products(records.limit(0), known).count() == 0
 
 
+def test_equally_frequent_spellings_meet(spark):
+    """Unlisted brands, once in each table: one spelling is the entry, unless the ingredients differ; chains keep their own."""
+    from medloom.llm.matching import match_products, read_records
+
+    schema = "id long, brand string, generic string, dosage string"
+    a = spark.createDataFrame([(1, "Kuphobacgpas", "xanor", "125mg"), (2, "Diva-phaphitrex", None, "1g"), (3, "Modugalorim", "xanor", "5mg"), (4, "Rilopasenib", None, "5mg")], schema)
+    b = spark.createDataFrame([(1, "Kuphobacipas", "xanor", "125mg"), (2, "divaphaaphitrex", "xanor", "1g"), (3, "Modugalorin", "pithogexin", "5mg"), (4, "Rilopasxxib", None, "5mg"), (5, "Rilopyyxxib", None, "5mg")], schema)
+    c = spark.createDataFrame([(1, "Rilopyyxxib", None, "5mg"), (2, "Rilopasxxib", None, "5mg"), (3, "Rilopasenib", None, "5mg")], schema)
+    records = read_records(a, "a", "id", "brand", None, "generic", "dosage")
+    for df, name in ((b, "b"), (c, "c")):
+        records = records.union(read_records(df, name, "id", "brand", None, "generic", "dosage"))
+    known = spark.createDataFrame([("tapovebakom", ["xanor"])], "brand_key string, said array<string>")
+    got = {(r.left_tbl, r.left_id, r.right_tbl, r.right_id) for r in match_products(records, known).collect()}
+    assert {("a", 1, "b", 1), ("a", 2, "b", 2), ("a", 4, "c", 3), ("b", 5, "c", 1)} <= got
+    assert ("a", 3, "b", 3) not in got
+
+
 def test_deletion_keys_meet(spark):
     from medloom.llm.matching import less_one, less_two
 
