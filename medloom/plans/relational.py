@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from medloom.functions import dates, numeric, rules, similarity, text
@@ -519,9 +519,19 @@ _BLOCKS = """blocks AS (SELECT user_id AS page, event_id AS block, hour(ts) * 60
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The events of the third of a month, as the twins have them; a page is a user."""
+    return _as_blocks(table(spark, d, "events").where(F.dayofmonth("ts") == 3), F.col("user_id"))
+
+
+def _day_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """All events; a page is a user's day."""
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
+    return _as_blocks(table(spark, d, "events"), F.concat_ws(":", part(F.col("user_id")), part(F.to_date("ts"))))
+
+
+def _as_blocks(rows: DataFrame, page: Column) -> DataFrame:
     x, y = F.hour("ts") * 60 + F.minute("ts"), F.col("event_id") * 7 % 500
-    rows = table(spark, d, "events").where(F.dayofmonth("ts") == 3)
-    return rows.select(F.col("user_id").alias("page"), F.col("event_id").alias("block"), x.cast("bigint").alias("x1"), (x + 1 + F.col("event_id") % 60).alias("x2"), y.alias("y1"), (y + 10 + F.col("event_id") % 30).alias("y2"))
+    return rows.select(page.alias("page"), F.col("event_id").alias("block"), x.cast("bigint").alias("x1"), (x + 1 + F.col("event_id") % 60).alias("x2"), y.alias("y1"), (y + 10 + F.col("event_id") % 30).alias("y2"))
 
 
 @query(
@@ -540,7 +550,10 @@ def q40(spark, d):
 SELECT b.page, b.block, arg_min(anchor, n) FILTER (b.y1 <= coalesce(hi, 1e18)) AS anchor FROM blocks b LEFT JOIN m ON b.page = m.page GROUP BY b.page, b.block""",
 )
 def q41(spark, d):
-    blocks = _blocks(spark, d)
+    return _anchored(_blocks(spark, d))
+
+
+def _anchored(blocks: DataFrame) -> DataFrame:
     anchors = blocks.where("block % 5 = 0").select("page", F.col("block").alias("anchor"), F.col("y1").alias("ay"))
     return layout.nearest_anchor(blocks.select("page", "block", "y1"), anchors, "page", "y1", "ay", "anchor").select("page", "block", "anchor")
 
@@ -555,6 +568,21 @@ def q42(spark, d):
     return layout.neighbours(_blocks(spark, d), "page", "block", "x1", "x2", "y1", "y2")
 
 
+@query("q57_gaps_by_day")
+def q57(spark, d):
+    return layout.gaps(_day_blocks(spark, d), "page", "x1", "x2", ["block"], 3)
+
+
+@query("q58_nearest_anchor_by_day")
+def q58(spark, d):
+    return _anchored(_day_blocks(spark, d))
+
+
+@query("q59_neighbours_by_day")
+def q59(spark, d):
+    return layout.neighbours(_day_blocks(spark, d), "page", "block", "x1", "x2", "y1", "y2")
+
+
 @query("q43_consensus")
 def q43(spark, d):
     """Votes over the sample texts of each product; rows only, as clusters depend on order."""

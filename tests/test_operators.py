@@ -76,6 +76,20 @@ def test_sessions(spark):
     assert bad.count() == 0
 
 
+def test_layout_queries_take_every_day(spark, tmp_path):
+    from medloom.plans import registry
+
+    events = [(5, 1, "2024-01-04 08:00:00"), (6, 1, "2024-01-04 09:30:00"), (7, 1, "2024-01-05 08:00:00"), (76, 1, "2024-01-05 08:30:00"), (10, 2, "2024-01-03 08:00:00")]
+    df = spark.createDataFrame(events, "event_id long, user_id long, ts string")
+    df.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    ask = lambda name: registry.queries()[name](spark, str(tmp_path))
+    assert {(r.page, r.edge, r.next) for r in ask("q57_gaps_by_day").collect()} == {("1:2024-01-04", 486, 570), ("1:2024-01-05", 488, 510)}
+    assert {(r.page, r.block, r.anchor) for r in ask("q58_nearest_anchor_by_day").collect()} == {
+        ("1:2024-01-04", 5, 5), ("1:2024-01-04", 6, 5), ("1:2024-01-05", 7, None), ("1:2024-01-05", 76, None), ("2:2024-01-03", 10, 10),
+    }
+    assert {(r.page, r.src, r.dst, r.dir) for r in ask("q59_neighbours_by_day").collect()} == {("1:2024-01-04", 5, 6, "right"), ("1:2024-01-05", 7, 76, "right")}
+
+
 def test_layout(spark):
     blocks = spark.createDataFrame([(1, 1, 0, 10, 0, 10), (1, 2, 12, 20, 2, 8), (1, 3, 0, 9, 20, 30), (1, 4, 12, 20, 10, 12)], "page int, block int, x1 int, x2 int, y1 int, y2 int")
     assert rows(layout.neighbours(blocks, "page", "block", "x1", "x2", "y1", "y2")) == [(1, 1, 2, "right"), (1, 1, 3, "below"), (1, 2, 4, "below")]
