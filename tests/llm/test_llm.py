@@ -180,6 +180,21 @@ def test_currency_places_untimed_rows(spark):
     assert {v for k, v in inferred.items() if k != 101} == {"new"}
 
 
+def test_untimed_rows_are_ordered_among_themselves(spark):
+    """Red gives way to blue and blue to green: of untimed rows the green one is latest, also without any timed row."""
+    from medloom.llm.survivors import representatives
+
+    rows = []
+    for g in range(6):
+        for n, (older, newer) in enumerate((("red", "blue"), ("blue", "green"))):
+            base = 100 * g + 10 * n
+            rows += [(base + 1, f"drug {g} {n}", "old", older, "good", "2024-01-01", None), (base + 2, f"drug {g} {n}", "new", newer, "good", "2025-01-01", None)]
+    rows += [(901, "wholly", "r", "red", "good", None, None), (902, "wholly", "g", "green", "good", None, None), (903, "wholly", "b", "blue", "good", None, None)]
+    rows += [(911, "partly", "r", "red", "good", "2024-05-01", None), (912, "partly", "b", "blue", "good", None, None), (913, "partly", "g", "green", "good", None, None)]
+    got = {r.group_id: r.usage for r in representatives(drugs(spark, rows), trust(spark), ["usage"], attributes=["color"], missing_time="infer").collect()}
+    assert got[901] == "g" and got[911] == "g"
+
+
 # --- problem 4 ------------------------------------------------------------------------------------------------------
 
 
