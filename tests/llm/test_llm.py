@@ -84,25 +84,15 @@ def test_neighbours_recall(spark):
     assert len(every & loose) >= 0.9 * len(every)
 
 
-def test_neighbours_are_whole_however_short_the_walk(spark):
+def test_neighbours_are_exact_where_the_gap_takes_every_cell(spark):
     from medloom.llm.neighbours import most_similar
 
     rows = vectors()
     for least in (-1, 0.7):
-        got = {(r.id, r.neighbour) for r in most_similar(frame(spark, rows), k=5, min_cosine=least, max_cells=1, block=64).collect()}
+        got = {(r.id, r.neighbour) for r in most_similar(frame(spark, rows), k=5, min_cosine=least, gap=4.0, block=64).collect()}
         assert got == brute_neighbours(rows, 5, least)
 
 
-def test_neighbours_of_crowds_without_a_bar(spark):
-    from medloom.llm.neighbours import reaching
-
-    near = np.random.default_rng(2).random((30, 200), dtype=np.float32)
-    for axis in (0, 1):
-        best = {(r, c) for r, c in zip(*np.nonzero(near >= np.expand_dims(np.sort(near, axis=1 - axis).take(-4, axis=1 - axis), 1 - axis)))}
-        got = set(zip(*reaching(near, np.full(near.shape[axis], -1, dtype=np.float32), 3, axis)))
-        assert best <= got and len(got) < 1.1 * len(best)
-
-
 def test_neighbours_copies_and_unusable(spark):
     from medloom.llm.neighbours import most_similar
 
@@ -118,15 +108,17 @@ def test_neighbours_copies_and_unusable(spark):
     assert most_similar(frame(spark, base[:1]), k=5).count() == 0
 
 
-def test_heap_walk_is_in_order():
+def test_heap_walk_takes_the_occupied_cells_within_the_gap_in_order():
     from medloom.llm.neighbours import walk
 
     rng = np.random.default_rng(1)
     a, b = np.sort(rng.random(12)), np.sort(rng.random(12))
-    cells = np.ones((12, 12), dtype=bool)
-    got = walk(a.tolist(), b.tolist(), cells, 40, float("inf"), 1000)
-    want = sorted(((a[i] + b[j], i, j) for i in range(12) for j in range(12)))[:40]
-    assert got == [(i, j) for _, i, j in want]
+    o1, o2 = rng.permutation(12).tolist(), rng.permutation(12).tolist()
+    cells = rng.random((12, 12)) < 0.5
+    for gap in (0.0, 0.4, 9.0):
+        got = walk(a.tolist(), b.tolist(), o1, o2, [row.tobytes() for row in cells], gap)
+        want = sorted((a[i] + b[j], o1[i], o2[j]) for i in range(12) for j in range(12) if cells[o1[i], o2[j]] and a[i] + b[j] <= a[0] + b[0] + gap)
+        assert got == [(i, j) for _, i, j in want]
 
 
 # --- problem 2 ------------------------------------------------------------------------------------------------------
