@@ -187,6 +187,26 @@ def test_untimed_rows_are_ordered_among_themselves(spark):
     assert got[901] == "g" and got[911] == "g"
 
 
+def test_chains_of_untimed_rows_and_cycles(spark):
+    """A chain over two attributes is followed through its untimed rows; the weakest edge of a cycle is broken."""
+    from medloom.llm.survivors import currency, followed
+
+    edges = spark.createDataFrame([("a", "p", "q", 9), ("a", "q", "r", 5), ("a", "r", "p", 3), ("b", "x", "y", 4)], "attr string, older string, newer string, n long")
+    assert {tuple(r) for r in followed(edges).collect()} == {("a", "p", "q"), ("a", "q", "r"), ("a", "p", "r"), ("b", "x", "y")}
+
+    schema = "key string, id long, time timestamp, color string, shape string"
+    rows = spark.createDataFrame([], schema)
+    seen = [(f"g{k}", 10 * k + n, "2024-01-0%d 00:00:00" % (n + 1), c, s) for k in range(4) for n, (c, s) in enumerate((("red", None), ("blue", None)))]
+    seen += [(f"h{k}", 100 + 10 * k + n, "2024-01-0%d 00:00:00" % (n + 1), c, s) for k in range(4) for n, (c, s) in enumerate(((None, "oval"), (None, "round")))]
+    # 901 is timed and red; 902 is blue, so after it; 903 is round, so after 902, which is oval; 904 follows nothing.
+    seen += [("q", 901, "2024-06-01 00:00:00", "red", None), ("q", 902, None, "blue", "oval"), ("q", 903, None, None, "round"), ("q", 904, None, "green", None)]
+    rows = spark.createDataFrame(seen, "key string, id long, t string, color string, shape string").withColumn("time", F.to_timestamp("t")).drop("t")
+    got = {r.id: (str(r["at"]), r.depth) for r in currency(rows, ["color", "shape"], "infer").where("key = 'q'").collect()}
+    assert got[901] == ("2024-06-01 00:00:00", 0) and got[902] == ("2024-06-01 00:00:00", 2) and got[903] == ("2024-06-01 00:00:00", 2) and got[904] == ("None", 0)
+    assert {r.depth for r in currency(rows, ["color", "shape"], "last").collect()} == {0}
+    assert currency(rows.limit(0), ["color", "shape"], "infer").count() == 0
+
+
 # --- problem 4 ------------------------------------------------------------------------------------------------------
 
 
