@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from medloom.operators.shred import Repeated, Striper, assemble, elements, links, parse, pick, relation, shred, unwrap
+from medloom.operators.shred import Repeated, Striper, assemble, elements, leaf_rows, links, parse, relation, shred, unwrap
 
 import numpy as np
 
@@ -14,6 +14,10 @@ A = Repeated("a", (), (("x",),), (B,))
 NESTED = Repeated("a", ("as",), (), (Repeated("b", ("bs",)),))
 
 
+def pick(parent, keys):
+    return next((parent[k] for k in keys if parent.get(k) is not None), None)
+
+
 def brute(node, value, path=()):
     """The links of a document by plain recursion."""
     out = []
@@ -59,11 +63,16 @@ def test_levels_rebuild_any_document(documents):
     texts = [json.dumps(d) for d in documents]
     for t in texts:
         striper.add(t)
-    got = []
-    for node, depth in ((A, 1), (B, 2), (C, 3)):
-        stripe = striper.stripes[node.rel][0]
-        rows, doc, positions = assemble(np.array(stripe.rep, dtype=np.int32), np.array(stripe.define, dtype=np.int32), depth)
-        got += [(int(doc[k]), node.rel, ".".join(str(int(p[k])) for p in positions)) for k in range(len(rows))]
+    striper.top.finish()
+    got, node = [], striper.top
+    for spec, depth in ((A, 1), (B, 2), (C, 3)):
+        node = node.below[spec]
+        links_of = []
+        for stripe in (node, *node.leaves.values()):  # every leaf's own levels tell the same rows
+            rows, doc, positions = assemble(np.array(stripe.rep, dtype=np.int32), np.array(stripe.define, dtype=np.int32), depth)
+            links_of.append([(int(doc[k]), spec.rel, ".".join(str(int(p[k])) for p in positions)) for k in range(len(rows))])
+        assert all(x == links_of[0] for x in links_of)
+        got += links_of[0]
     assert sorted(got) == sorted((i, *link) for i, t in enumerate(texts) for link in brute(A, unwrap(parse(t))))
 
 
@@ -76,8 +85,8 @@ def test_tables_nulls_repeats_and_clashing_columns(spark):
     df = spark.createDataFrame([("1", '[{"x":1,"bs":[{"w":"p"}]}]', "z"), ("1", '[{"x":1,"bs":[{"w":"p"}]}]', "z"), (None, "[{}]", "z")], "id string, t string, rel string")
     long = shred(df, "id", "t", (A,))
     assert links(long).count() == 2
-    assert [tuple(r) for r in relation(long, B).collect()] == [("1", "0", "0.0", "p")]
-    assert [tuple(r) for r in relation(long, A).collect()] == [("1", None, "0", "1")]
+    assert [tuple(r) for r in relation(long, B).collect()] == [("1", "0", "0.0", "p", "{}")]
+    assert [tuple(r) for r in relation(long, A).collect()] == [("1", None, "0", "1", "{}")]
     assert shred(df.limit(0), "id", "t", (A,)).count() == 0
 
 
@@ -86,7 +95,30 @@ def test_long_lists(spark):
     assert len(found(spark, [text])) == 400 + 400 * 50
 
 
-@pytest.mark.parametrize("name", ["p3_found", "p3_scan_candidates", "p3_suggestions"])
+def test_every_leaf_is_kept(spark):
+    text = json.dumps({"q": "GOOD", "stats": {"n": 2, "deep": {"z": None, "y": True}}, "none": [], "as": [{"bbox": [1, None, 2.5], "m": {"colors": ["red", "blue"]}, "other": [{"k": 1}, 5, {"k": 2}]}, {"bbox": []}], "a.b": "dot", "wrapped": json.dumps({"i": 1})})
+    df = spark.createDataFrame([("1", text)], "id string, t string")
+    got = {(r.rel, r.child_path, r.path, r.value) for r in leaf_rows(shred(df, "id", "t", (Repeated("a", ("as",)),), "doc")).collect()}
+    assert got == {
+        ("doc", "", "q", "GOOD"), ("doc", "", "stats.n", "2"), ("doc", "", "stats.deep.y", "true"), ("doc", "", "none[]", "[]"), ("doc", "", "a\\.b", "dot"), ("doc", "", "wrapped.i", "1"),
+        ("a", "0", "bbox[]", "[1,null,2.5]"), ("a", "0", "m.colors[]", '["red","blue"]'), ("a", "1", "bbox[]", "[]"),
+        ("a/other", "0.0", "k", "1"), ("a/other", "0.1", "", "5"), ("a/other", "0.2", "k", "2"),
+    }
+
+
+def test_deep_wrapped_and_long(spark):
+    """No limit on how often text is wrapped in text, how deep lists nest or how long an integer is."""
+    wrapped = json.dumps([{}])
+    for _ in range(12):
+        wrapped = json.dumps(wrapped)
+    deep = '{"x":' * 30_000 + "1" + "}" * 30_000
+    long = '[{"x":' + "9" * 6000 + "}]"
+    assert found(spark, [wrapped[:], f"[{deep}]", long]) == [("0", "a", "0"), ("1", "a", "0"), ("2", "a", "0")]
+    df = spark.createDataFrame([("1", long)], "id string, t string")
+    assert leaf_rows(shred(df, "id", "t", (A,))).first().value == "9" * 6000
+
+
+@pytest.mark.parametrize("name", ["p3_found", "p3_leaves", "p3_scans", "p3_scan_candidates", "p3_suggestions"])
 def test_whole_tables(name, spark, data):
     from medloom.plans import nested
 
