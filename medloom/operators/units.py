@@ -4,7 +4,10 @@ Texts are read in one map-only Arrow pass. A text that is one bare number lacks
 its unit: a tree ensemble, trained on rows that do write their unit and
 calibrated on held-out ones, predicts it from the magnitude, the table, the
 category and the unit named by neighbouring fields. Confident predictions are
-converted; the others go to review.
+converted; the others go to review. A row that writes its unit is learned from
+twice: with what its neighbouring fields say, and with its own unit moved into
+them, as rows with a bare number have it. What the neighbours say is a feature
+only: nothing but the model gives a bare number its unit.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from medloom.functions.quantity import BASE, UNITS, bare_number, of, plain, quantities, unit_beside, unit_named
+from medloom.functions.quantity import BASE, UNITS, bare_number, plain, quantities, unit_beside, unit_named
 from medloom.runtime import hash_sample, materialise
 
-PARSED = "tbl string, row_key string, category string, part_no bigint, unit string, amount bigint, value double, written string, evidence string, checked_unit string, checked_amount bigint"
+PARSED = "tbl string, row_key string, category string, part_no bigint, unit string, amount bigint, value double, written string, evidence string, aside string"
 
 # One label per kind and size of unit; the spelling first listed stands for it.
 _LABEL_OF: dict[str, str] = {}
@@ -50,9 +53,10 @@ def read_quantities(
 ) -> DataFrame:
     """One row per quantity in column ``text``, and one with null ``unit`` for a text that is one bare number.
 
-    ``beside``: columns that may repeat the number with its unit; ``named``: columns that may name the unit. Their
-    finding is ``evidence``, with the bare number converted by it in ``checked_unit`` and ``checked_amount``. Null keys,
-    null, blank and unit-less texts give no row. Columns of other names are not read.
+    ``beside``: columns that may repeat the number with its unit; ``named``: columns that may name the unit without a
+    number of its own. Their finding is ``evidence``; a unit that a ``named`` column writes beside the same number is
+    ``aside`` (it may belong to another quantity). Null keys, null, blank and unit-less texts give no row. Columns of
+    other names are not read.
     """
     context = [*beside, *named]
 
@@ -62,20 +66,21 @@ def read_quantities(
             for row_key, kind, dosage, *around in zip(*(c.to_pylist() for c in batch.columns)):
                 value = bare_number(dosage)
                 single = None if value is not None else _value(dosage)
-                evidence = None
+                evidence = aside = None
                 if value is not None or single is not None:
                     at = value if value is not None else single[0]
                     for text_ in around[: len(beside)]:
                         evidence = evidence or unit_beside(text_, at)
                     for text_ in around[len(beside) :]:
-                        evidence = evidence or unit_beside(text_, at) or unit_named(text_)
+                        evidence = evidence or unit_named(text_)
+                        aside = aside or unit_beside(text_, at)
+                said = _LABEL_OF.get(evidence), _LABEL_OF.get(aside)
                 if value is not None:
-                    checked = of(value, evidence) if evidence else (None, None)
-                    rows.append((tbl, row_key, kind, 1, None, None, float(value), None, _LABEL_OF.get(evidence), *checked))
+                    rows.append((tbl, row_key, kind, 1, None, None, float(value), None, *said))
                     continue
                 for k, q in enumerate(quantities(dosage), 1):
                     written = (float(single[0]), _LABEL_OF[single[1]]) if single else (None, None)
-                    rows.append((tbl, row_key, kind, k, q.unit, q.amount, *written, _LABEL_OF.get(evidence), None, None))
+                    rows.append((tbl, row_key, kind, k, q.unit, q.amount, *written, *said))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
@@ -98,12 +103,12 @@ def _features(tables: Sequence[str]) -> Column:
             F.coalesce(F.col("value") % 1, F.lit(0.0)),
             *[flag(F.col("tbl") == t) for t in tables],
             *[flag((bucket == k) & F.col("category").isNotNull()) for k in range(CATEGORY_BUCKETS)],
-            *[flag(F.col("evidence") == u) for u in LABELS],
+            *[flag(F.col(c) == u) for c in ("evidence", "aside") for u in LABELS],
         )
     )
 
 
-def predict_units(parsed: DataFrame, tables: Sequence[str], fit_rows: int = 20_000, trees: int = 20, depth: int = 7, seed: int = 11) -> DataFrame:
+def predict_units(parsed: DataFrame, tables: Sequence[str], fit_rows: int = 20_000, trees: int = 30, depth: int = 9, seed: int = 11) -> DataFrame:
     """The bare numbers of ``parsed`` with ``predicted`` unit and calibrated ``confidence``.
 
     The ensemble is fitted on at most ``fit_rows`` labelled rows, chosen by key hash: three quarters train the trees, a quarter the isotonic calibration. With fewer than two units in the sample there is no model:
@@ -111,11 +116,12 @@ def predict_units(parsed: DataFrame, tables: Sequence[str], fit_rows: int = 20_0
     """
     bare = parsed.where("unit IS NULL")
     label = F.element_at(F.create_map(*[F.lit(x) for i, u in enumerate(LABELS) for x in (u, float(i))]), F.col("written"))
-    labelled = parsed.where("written IS NOT NULL").select("tbl", "row_key", "category", "value", "evidence", label.alias("label"), F.xxhash64("row_key").alias("h"))
+    labelled = parsed.where("written IS NOT NULL").select("tbl", "row_key", "category", "value", "evidence", "aside", "written", label.alias("label"), F.xxhash64("row_key").alias("h"))
     sample = materialise(hash_sample(labelled, ["tbl", "row_key"], fit_rows), "unit-sample")
     if len(sample.select("label").distinct().limit(2).collect()) < 2:
         return bare.withColumns({"predicted": F.lit(None).cast("string"), "confidence": F.lit(0.0)})
-    sample = sample.withColumn("features", _features(tables))
+    moved = sample.withColumns({"evidence": F.col("written"), "aside": F.lit(None).cast("string")})
+    sample = sample.unionByName(moved).withColumn("features", _features(tables))
     held_out = F.pmod("h", F.lit(4)) == 0
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="0.6", maxMemoryInMB=64)
     model = forest.fit(sample.where(~held_out).select("features", "label").coalesce(2))
@@ -131,22 +137,22 @@ def predict_units(parsed: DataFrame, tables: Sequence[str], fit_rows: int = 20_0
 def convert(parsed: DataFrame, tables: Sequence[str], threshold: float = 0.9, **model: Mapping) -> DataFrame:
     """All quantities in base units, with how each came about.
 
-    ``status``: 'written' (its unit is in the text), 'checked' (predicted, and the row itself names the unit, which
-    wins over a differing prediction), 'predicted' (confidence at or above ``threshold``), 'review' (unit null).
+    ``status``: 'written' (its unit is in the text), 'predicted' (confidence at or above ``threshold``), 'review' (unit
+    and amount null). ``evidence`` is the unit that neighbouring fields name, ``predicted`` the model's, whether or not it is taken.
     """
     size = F.element_at(F.create_map(*[F.lit(x) for u in LABELS for x in (u, float(UNITS[u][1]))]), F.col("predicted"))
     base = F.element_at(F.create_map(*[F.lit(x) for u in LABELS for x in (u, BASE[UNITS[u][0]])]), F.col("predicted"))
-    sure = F.col("confidence") >= threshold
-    status = F.when(F.col("checked_unit").isNotNull(), "checked").when(sure & F.col("predicted").isNotNull(), "predicted").otherwise("review")
+    sure = (F.col("confidence") >= threshold) & F.col("predicted").isNotNull()
     guessed = predict_units(parsed, tables, **model).select(
         "tbl",
         "row_key",
         "part_no",
-        F.coalesce("checked_unit", F.when(sure, base)).alias("unit"),
-        F.coalesce("checked_amount", F.when(sure, F.round(F.col("value") * size).cast("bigint"))).alias("amount"),
-        status.alias("status"),
+        F.when(sure, base).alias("unit"),
+        F.when(sure, F.round(F.col("value") * size).cast("bigint")).alias("amount"),
+        F.when(sure, "predicted").otherwise("review").alias("status"),
+        "evidence",
         "predicted",
         F.round("confidence", 4).alias("confidence"),
     )
-    written = parsed.where("unit IS NOT NULL").select("tbl", "row_key", "part_no", "unit", "amount", F.lit("written").alias("status"), F.col("written").alias("predicted"), F.lit(1.0).alias("confidence"))
+    written = parsed.where("unit IS NOT NULL").select("tbl", "row_key", "part_no", "unit", "amount", F.lit("written").alias("status"), "evidence", F.col("written").alias("predicted"), F.lit(1.0).alias("confidence"))
     return written.unionByName(guessed).dropDuplicates(["tbl", "row_key", "part_no", "unit", "amount"])

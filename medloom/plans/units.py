@@ -19,9 +19,11 @@ def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The quantities whose unit is written, or predicted and then found in the row itself."""
-    proved = p5_units(spark, sf_dir).where(F.col("status").isin("written", "checked"))
-    return proved.select("tbl", "row_key", "part_no", "unit", "amount")
+    """Quantities whose unit is written, and bare numbers whose unit the model is sure of; a bare number is a case only
+    where the same row names some unit, whichever the model then decides for."""
+    units = p5_units(spark, sf_dir)
+    cases = units.where("status = 'written' OR (status = 'predicted' AND evidence IS NOT NULL)")
+    return cases.select("tbl", "row_key", "part_no", "unit", "amount")
 
 
 QUERIES = {"p5_found": p5_found, "p5_units": p5_units}

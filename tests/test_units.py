@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from medloom.operators.units import convert, read_quantities
 from medloom.plans import units
 
@@ -9,17 +11,34 @@ def read(spark, rows):
 
 def test_reading(spark):
     got = read(spark, [("1", "5mg/10mg", None, None, "x"), ("2", "750", "(mg)", None, "x"), ("3", "62,5", None, "Abc 62,5 mg", "x"), ("4", "40", "sau ăn", None, "x"), ("5", None, None, None, "x"), (None, "5mg", None, None, "x"), ("6", "", None, None, None)])
-    rows = sorted((r.row_key, r.part_no, r.unit, r.amount, r.evidence, r.checked_amount) for r in got.collect())
-    assert rows == [("1", 1, "ug", 5000, None, None), ("1", 2, "ug", 10000, None, None), ("2", 1, None, None, "mg", 750000), ("3", 1, None, None, "mg", 62500), ("4", 1, None, None, None, None)]
+    rows = sorted((r.row_key, r.part_no, r.unit, r.amount, r.value, r.evidence) for r in got.collect())
+    assert rows == [("1", 1, "ug", 5000, None, None), ("1", 2, "ug", 10000, None, None), ("2", 1, None, None, 750.0, "mg"), ("3", 1, None, None, 62.5, "mg"), ("4", 1, None, None, 40.0, None)]
+
+
+def test_a_quantity_in_the_notes_is_no_evidence(spark):
+    got = read(spark, [("1", "200", "uống với 200ml nước", None, None), ("2", "200mg", "uống với 200ml nước", None, None)]).collect()
+    assert {(r.row_key, r.evidence, r.aside) for r in got} == {("1", None, "ml"), ("2", None, "ml")}
 
 
 def test_conversion_and_review(spark):
     rows = [(f"m{i}", f"{100 + i % 50 * 10}mg", None, None, None) for i in range(300)] + [(f"i{i}", f"{100000 + i % 7 * 1000} IU", None, None, None) for i in range(100)]
+    rows += [(f"v{i}", f"{100 + i % 15 * 30}ml", None, None, None) for i in range(15)]
     rows += [("bare", "250", None, None, None), ("told", "250", "đơn vị ml", None, None), ("told", "250", "đơn vị ml", None, None)]
     got = {r.row_key: r for r in convert(read(spark, rows), ["t"]).collect()}
     assert (got["bare"].status, got["bare"].unit, got["bare"].amount) == ("predicted", "ug", 250000)
-    assert (got["told"].status, got["told"].unit, got["told"].amount) == ("checked", "ul", 250000)
-    assert len(got) == 402
+    assert (got["told"].status, got["told"].unit, got["told"].amount, got["told"].evidence) == ("predicted", "ul", 250000, "ml")
+    assert len(got) == 417
+
+
+def test_the_model_alone_decides(spark, monkeypatch):
+    """Learned the other way round, bare numbers have the other unit, whatever their neighbours say."""
+    rows = [(f"m{i}", f"{100 + i % 50 * 10}mg", None, None, None) for i in range(300)] + [(f"v{i}", f"{100 + i % 50 * 10}ml", None, None, None) for i in range(300)]
+    rows += [("told", "250", "đơn vị mg", None, None)]
+    parsed = read(spark, rows)
+    flip = F.when(F.col("written") == "mg", "ml").when(F.col("written") == "ml", "mg")
+    turned = parsed.withColumn("evidence", F.when(F.col("written").isNotNull(), F.col("written")).otherwise(F.col("evidence"))).withColumn("written", flip)
+    straight, other = (convert(p, ["t"]).where("row_key = 'told'").first() for p in (parsed, turned))
+    assert straight.unit == "ug" and other.unit != "ug"
 
 
 def test_without_labels_everything_goes_to_review(spark):
@@ -30,8 +49,6 @@ def test_without_labels_everything_goes_to_review(spark):
 
 def test_unit_model_on_held_out_rows(spark, data):
     """The prediction alone, evidence hidden, against written units of rows it was not fitted on."""
-    from pyspark.sql import functions as F
-
     from medloom.operators.units import predict_units
     from medloom.runtime import table
 
