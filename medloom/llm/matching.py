@@ -5,17 +5,18 @@ successive exact joins on weaker and weaker attributes; records that a rule
 resolves are anti-joined before the next one. Brand rules join the record's
 brand key with a catalogue on: the key as spelt, as it sounds, as it scans, the
 keys of its sample texts, keys with one letter left out, with two left out (one
-and two edits meet in such keys), the last two first together with the
+and two edits meet in such keys and are then counted, see ``within``), the last two first together with the
 ingredient and then alone where only one candidate is met. Brands outside the
 catalogue are resolved among themselves the same way, rare spellings to frequent
 ones; of equally frequent ones the spelling that names an ingredient, then the smaller
 key, is the entry. Records of one product in different tables match.
 
-Confidence: each rule's precision, counted on the records that it resolves and
-whose ingredient is known on both sides (a rule that uses the ingredient has the
-precision of its plain form, or, where higher, the share of its records whose
-brand and strength another record has by the first rule), smoothed by
-(hits + 1) / (cases + 2). A match has the product of its rules' precisions.
+Confidence: each rule's precision, counted on records that it resolves by evidence
+that it does not use, smoothed by (hits + 1) / (cases + 2). Rules on the whole key: whether
+the record's ingredient is the entry's, where both are known. Rules with edits, which look at
+the ingredient: how often another record of the entry, resolved as spelt, has the same strength,
+as a share of how often that is so of records that are themselves resolved as spelt. A match has the product of
+its rules' precisions.
 
 All joins are equi-joins on keys; nothing is broadcast and no two records of a
 table are ever compared.
@@ -30,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from medloom.functions.quantity import Quantity, bare_number, of, quantities, unit_beside
-from medloom.llm.canonical import list_key, segments, sound
+from medloom.llm.canonical import list_key, scan, segments, sound
 from medloom.runtime import Passes, materialise
 
 RECORD = "tbl string, id bigint, brand string, strength string, strength_rule string, name_strength string, ingredients array<string>, texts array<string>"
@@ -77,11 +78,6 @@ def read_records(df: DataFrame, tbl: str, row_id: str, brand: str, name: str | N
     return told.select(F.col(row_id).cast("bigint"), brand, (F.col(name) if name else null).alias("_n"), generic, dosage, F.col(texts).alias("_t") if texts else F.lit(None).cast("array<string>").alias("_t")).mapInArrow(run, RECORD)
 
 
-def scan(key: Column) -> Column:
-    """The key with letters that scanning confuses made one."""
-    return F.translate(key, "el", "ci")
-
-
 def less_one(key: Column) -> Column:
     """The key and all keys with one letter left out."""
     drop = F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.concat(F.substr(key, F.lit(1), i - 1), F.substr(key, i + 1)))
@@ -93,10 +89,27 @@ def less_two(key: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(less_one(key), less_one)))
 
 
+def within(a: Column, b: Column, edits: int, letters: int = 3) -> Column:
+    """Whether two keys that share a key of ``less_one`` or ``less_two`` are so many edits apart, a moved letter being one.
+
+    Keys of fewer than ``letters`` letters an edit are too short to be told apart so.
+    """
+    d = F.levenshtein(a, b, edits + 1)  # -1 beyond
+    spelling = lambda c: F.array_sort(F.split(c, ""))
+    moved = (d == edits + 1) & (spelling(a) == spelling(b)) if edits == 1 else (d == edits + 1) & (F.length(a) == F.length(b))
+    return (F.least(F.length(a), F.length(b)) >= edits * letters) & (((d >= 0) & (d <= edits)) | moved)
+
+
+def _enough(keys, edits: int, letters: int = 3):
+    """``keys`` only of a key that is long enough for so many edits: short ones would all meet on a few keys."""
+    return lambda key: F.when(F.length(key) >= edits * letters, keys(key)).otherwise(F.array().cast("array<string>"))
+
+
 # Rules in order of strength, by pass: those of one pass share a join, records that it resolves leave before the next.
 PASSES = (("spelt", "sound", "scan", "texts"), ("one",), ("two",))
 RANK = {rule: n for n, rule in enumerate(("spelt", "sound", "scan", "texts", "one+ingredient", "one", "two+ingredient", "two"))}
-_KEYS = {"spelt": F.array, "sound": lambda k: F.array(sound(k)), "scan": lambda k: F.array(scan(k)), "texts": F.array, "one": less_one, "two": less_two}
+EDITS = {"one": 1, "two": 2}
+_KEYS = {"spelt": F.array, "sound": lambda k: F.array(sound(k)), "scan": lambda k: F.array(scan(k)), "texts": F.array, "one": _enough(less_one, 1), "two": _enough(less_two, 2)}
 
 
 def _tagged(rules: tuple[str, ...], key: Column, texts: Column | None) -> Column:
@@ -119,9 +132,11 @@ def cascade(records: DataFrame, catalogue: DataFrame, label: str, skip: tuple[st
     rank = F.create_map(*[F.lit(x) for r, n in RANK.items() for x in (r, n)])
     for rules in PASSES:
         left = records.join(passes.table(), ["tbl", "id"], "left_anti") if passes.paths else records
-        asked = left.select("tbl", "id", "said", _tagged(rules, F.col("brand"), F.col("texts")))
-        held = catalogue.select("brand_id", F.col("said").alias("has"), _tagged(rules, F.col("brand_key"), None))
+        asked = left.select("tbl", "id", "brand", "said", _tagged(rules, F.col("brand"), F.col("texts")))
+        held = catalogue.select("brand_id", "brand_key", F.col("said").alias("has"), _tagged(rules, F.col("brand_key"), None))
         met = asked.join(held.hint("merge"), ["rule", "k"])  # the exploded side is larger than its source: never broadcast
+        if rules[0] in EDITS:
+            met = met.where(within(F.col("brand"), F.col("brand_key"), EDITS[rules[0]]))
         agrees = F.when(F.arrays_overlap("said", "has"), F.col("brand_id"))
         met = met.groupBy("tbl", "id", "rule").agg(
             F.min("brand_id").alias("lo"), F.max("brand_id").alias("hi"), F.min(agrees).alias("lo_i"), F.max(agrees).alias("hi_i")
@@ -151,13 +166,13 @@ def match_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     usual = told.groupBy("brand").agg(F.array(F.max_by("one", F.struct("m", "one"))).alias("said"))
     votes = rest.groupBy("brand").agg(F.count("*").alias("n")).join(usual, "brand", "left")
     votes = materialise(votes.withColumn("said", F.coalesce("said", F.array().cast("array<string>"))), "votes")
-    near = votes.select("brand", "n", "said", F.explode(less_two(sound(F.col("brand")))).alias("k"))
-    stronger = near.select("k", F.col("brand").alias("better"), F.col("n").alias("m"), F.col("said").alias("has"))
+    near = votes.withColumn("key", sound(F.col("brand"))).select("brand", "key", "n", "said", F.explode(_KEYS["two"](F.col("key"))).alias("k"))
+    stronger = near.select("k", F.col("brand").alias("better"), F.col("key").alias("better_key"), F.col("n").alias("m"), F.col("said").alias("has"))
     # Of equally frequent spellings one gives way, unless they name different ingredients.
     named, other = F.size("said") > 0, F.size("has") > 0
     tied = (F.col("m") == F.col("n")) & (~named | ~other | F.arrays_overlap("said", "has"))
     gives_way = (F.col("m") > F.col("n")) | (tied & ((other & ~named) | ((other == named) & (F.col("better") < F.col("brand")))))
-    weak = near.join(stronger.hint("merge"), "k").where(gives_way & (F.col("better") != F.col("brand"))).select("brand").distinct()
+    weak = near.join(stronger.hint("merge"), "k").where(gives_way & (F.col("better") != F.col("brand")) & within(F.col("key"), F.col("better_key"), 2)).select("brand").distinct()
     weak = materialise(weak, "weak")
     own = votes.join(weak, "brand", "left_anti").select(F.concat(F.lit("O:"), "brand").alias("brand_id"), F.col("brand").alias("brand_key"), "said")
     met = cascade(rest, own, "own")
@@ -172,19 +187,16 @@ def match_products(records: DataFrame, brands: DataFrame) -> DataFrame:
     judged = products.join(truth, "brand_id").join(backed, ["brand_id", "strength"], "left")
     me = F.struct("tbl", "id")
     support = F.coalesce((F.col("lo") != me) | (F.col("hi") != me), F.lit(False))
-    uses = F.col("rule").endswith("+ingredient")
     # Only ingredients that some listed brand has can be told right from wrong.
     real = brands.select(F.explode("said").alias("one")).distinct().withColumn("real", F.lit(True))
     told = products.select("tbl", "id", F.explode("said").alias("one")).join(real, "one").select("tbl", "id").distinct().withColumn("told", F.lit(True))
     judged = judged.join(told, ["tbl", "id"], "left")
-    # What the ingredient rules take away would have been right cases of the plain rule after them.
     agrees = F.when(F.col("told") & (F.size("has") > 0), F.arrays_overlap("said", "has"))
     smooth = lambda hit: (F.coalesce(F.sum(hit.cast("int")), F.lit(0)) + 1) / (F.count(hit) + 2)
-    family = F.split("rule", r"\+")[0]
-    plain = judged.groupBy(family.alias("family")).agg(smooth(agrees).alias("p_plain"))
-    backing = judged.where(uses).groupBy("rule").agg(smooth(support).alias("p_support"))
-    named = judged.select("rule", family.alias("family")).distinct().join(plain, "family").join(backing, "rule", "left")
-    precision = {r.rule: r.p for r in named.select("rule", F.greatest("p_plain", "p_support").alias("p")).collect()}  # a row per rule
+    strong = F.when(F.col("strength").isNotNull(), support)
+    counted = {r.rule: (float(r.by_ingredient), float(r.by_strength)) for r in judged.groupBy("rule").agg(smooth(agrees).alias("by_ingredient"), smooth(strong).alias("by_strength")).collect()}  # a row per rule
+    usual = counted.get("spelt", (0.5, 0.5))[1]
+    precision = {rule: min(1.0, by_strength / usual) if rule.split("+")[0] in EDITS else by_ingredient for rule, (by_ingredient, by_strength) in counted.items()}
     # And of the strength rules, where dosage and name both tell one.
     both = products.where("strength_rule = 'dosage' AND name_strength IS NOT NULL")
     p_name = both.agg((F.coalesce(F.sum((F.col("strength") == F.col("name_strength")).cast("int")), F.lit(0)) + 1) / (F.count("*") + 2)).first()[0]

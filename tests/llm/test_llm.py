@@ -250,6 +250,32 @@ def test_deletion_keys_meet(spark):
     assert one == [True, True, True, False] and two == [True] * 4
 
 
+def test_edits_are_counted_after_deletion_keys_meet(spark):
+    from medloom.llm.matching import within
+
+    pairs = [("abcdef", "abcdef"), ("abcdef", "abcdxf"), ("abcdef", "abcedf"), ("abcdef", "xbcdxf"), ("abcdef", "xycdef"), ("abcdefgh", "xycdefzw"), ("ab", "ac"), ("abcde", "abxye")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [tuple(r) for r in df.select(within(F.col("a"), F.col("b"), 1), within(F.col("a"), F.col("b"), 2)).collect()]
+    assert got == [(True, True), (True, True), (True, True), (False, True), (False, True), (False, False), (False, False), (False, False)]
+
+
+def test_rules_share_a_pass_without_changing_what_each_resolves(spark):
+    """The rules of the first pass in one join give what they give one after the other, each on what is left."""
+    from medloom.llm import matching
+
+    rng = random.Random(4)
+    names = ["".join(rng.choice("abcdeklpy") for _ in range(rng.randrange(3, 6))) for _ in range(60)]
+    records = spark.createDataFrame([("t", k, rng.choice(names), [], [rng.choice(names)] if k % 3 == 0 else []) for k in range(300)], "tbl string, id long, brand string, said array<string>, texts array<string>")
+    catalogue = spark.createDataFrame([(f"L:{n}", n, []) for n in sorted(set(names))[::2]], "brand_id string, brand_key string, said array<string>")
+    together = {tuple(r) for r in matching.cascade(records, catalogue, "together").collect()}
+    passes, matching.PASSES = matching.PASSES, tuple((rule,) for rules in matching.PASSES for rule in rules)
+    try:
+        alone = {tuple(r) for r in matching.cascade(records, catalogue, "alone").collect()}
+    finally:
+        matching.PASSES = passes
+    assert together == alone and len(together) > 100
+
+
 # --- problem 6 ------------------------------------------------------------------------------------------------------
 
 LIST = [(1, "Tapovebakom", "brand"), (2, "Mulokunisir", "brand"), (3, "xedoranol", "ingredient"), (4, "pithogexin", "ingredient"), (5, None, "brand")]
@@ -302,6 +328,29 @@ def test_mapping_recovers_typos(spark, data):
     assert right >= 0.95 * len(truth) and wrong <= 0.01 * len(truth)
 
 
+def test_retrieval_is_complete(spark):
+    """Every pair within the edits allowed is retrieved, however short or long, and no other."""
+    from medloom.llm.canonical import candidates, scan, sound
+
+    rng = random.Random(9)
+    entries = sorted({"".join(rng.choice("aeklpy1") for _ in range(n)) for n in range(1, 15) for _ in range(6)})
+    keys = set(entries[::3])
+    for e in entries:
+        for _ in range(6):
+            k = list(e)
+            for _ in range(rng.randrange(1, 4)):
+                at = rng.randrange(len(k) + 1)
+                k[at : at + rng.randrange(2)] = rng.choice(["", "x", "k", "l"])
+            keys.add("".join(k))
+    keys = sorted(keys - {""})
+    a, b = spark.createDataFrame([(k,) for k in keys], "key string"), spark.createDataFrame([(e,) for e in entries], "entry_key string")
+    got = {(r.key, r.entry_key): r.edits for r in candidates(a, b).collect()}
+    x, y = F.col("key"), F.col("entry_key")
+    far = lambda p, q, most, more=0: F.when(F.levenshtein(p, q) <= most, F.levenshtein(p, q) + more).otherwise(99)
+    every = a.crossJoin(b).withColumn("d", F.least(far(x, y, 2), far(sound(x), sound(y), 2), far(scan(x), scan(y), 1, 1))).where("d < 99")
+    assert got == {(r.key, r.entry_key): r.d for r in every.collect()}
+
+
 # --- problem 7 ------------------------------------------------------------------------------------------------------
 
 
