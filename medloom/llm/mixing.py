@@ -3,25 +3,29 @@
 Each source's documents, in a fixed order, make one stream of tokens, cut into
 blocks of ``block_tokens``. The plan says how many blocks each source gives to
 the mix: its share of the total, at most ``max_repeats`` times its blocks. The
-mix is written in shards; each shard's source counts are multinomial draws,
-conditioned on the plan (drawn without replacement from what the plan has left),
-so that shares hold exactly and not only on average. The n-th slot of a source takes
+mix is written in shards; a shard's source counts are multinomial draws conditioned on
+the plan, that is drawn without replacement from all slots of all sources, so
+that shares hold exactly and not only on average. The draw is a pseudorandom
+permutation of all slots, of which each shard takes a stretch: any task can tell the
+sources of any shard, whatever their number, and the driver lists none. The n-th slot of a source takes
 the block at the n-th place of pseudorandom permutations of its blocks, one
 after another: no block is used r+1 times before all are used r times. Slots are
 joined to blocks, and blocks to documents, by index.
 
-Streams are laid out by prefix sums in two levels (hash buckets of a source,
-documents of a bucket), so a source of any size is spread over many tasks.
+Streams are laid out by prefix sums in two levels (hash buckets of a source, as many
+as its documents need, and documents of a bucket), so a source of any size is spread over many tasks.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +49,10 @@ def _encoding(path: str):
 def token_counts(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str) -> DataFrame:
     """``doc_id``, ``source``, ``tokens``: the size of every text, in tokens of the rank file ``tokenizer``."""
 
+    docs.sparkSession.sparkContext.addFile(tokenizer)  # executors need not have it
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(tokenizer)
+        encoding = _encoding(tokenizer if os.path.exists(tokenizer) else SparkFiles.get(os.path.basename(tokenizer)))
         for batch in batches:
             sizes = [len(encoding.encode_ordinary(t)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["doc_id", "source", "tokens"])
@@ -67,35 +73,14 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
             left, right = right, left ^ (mix(right + salt) & mask)
         return (left << np.uint64(half)) | right
 
+    if size <= 1:
+        return np.zeros(len(index), dtype=np.int64)
     out = once(index.astype(np.uint64))
     while len(outside := np.flatnonzero(out >= np.uint64(size))):
         out[outside] = once(out[outside])
     return out.astype(np.int64)
 
 
-def shard_counts(quotas: np.ndarray, shard_blocks: int, seed: int) -> Iterator[np.ndarray]:
-    """Per output shard, how many blocks each source gives: draws that use up ``quotas`` exactly."""
-    rng = np.random.default_rng(seed)
-    left = quotas.astype(np.int64).copy()
-    while (total := int(left.sum())) > 0:
-        size, rest, counts = min(shard_blocks, total), total, np.zeros_like(left)
-        for k in range(len(left)):  # source after source, given those before
-            rest -= int(left[k])
-            open_slots = size - int(counts.sum())
-            counts[k] = _draw(rng, int(left[k]), rest, open_slots)
-        left -= counts
-        yield counts
-
-
-def _draw(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of ``n`` draws without replacement are good."""
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    mean = n * good / (good + bad)
-    drawn = int(round(rng.normal(mean, (mean * bad / (good + bad) * (1 - n / (good + bad))) ** 0.5)))
-    return min(max(drawn, n - bad, 0), n, good)
-
-
 class Mixture:
     """A mix of ``docs`` by source towards ``targets`` (``source``, ``target_share``, ``max_repeats``).
 
@@ -116,26 +101,21 @@ class Mixture:
         total_tokens: int | None = None,
         block_tokens: int = 256,
         shard_blocks: int = 4096,
-        buckets: int = 128,
+        bucket_docs: int = 20_000,
         seed: int = 17,
     ) -> None:
         spark = self.spark = docs.sparkSession
-        self.block_tokens, self.seed = block_tokens, seed
+        self.block_tokens, self.shard_blocks, self.seed = block_tokens, shard_blocks, seed
         goal: dict[str, tuple[float, int]] = {}
         for r in sorted(targets.select("source", "target_share", "max_repeats").dropna().distinct().collect()):
             goal.setdefault(r.source, (float(r.target_share), int(r.max_repeats)))
         self.goal = goal
         wanted = docs.where(F.col(source).isin(*goal)) if goal else docs.limit(0)
         counted = token_counts(wanted, doc_id, text, source, tokenizer)
-        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-        self.sizes = materialise(counted.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("d")).select("doc_id", "d.*").withColumn("bucket", bucket), "sizes")
-        levels = sorted(self.sizes.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).collect())  # sources times buckets
-        self.tokens = dict.fromkeys(goal, 0)
-        starts = []
-        for s, b, n in levels:
-            starts.append((s, b, self.tokens[s]))
-            self.tokens[s] += n
-        self.starts = starts
+        self.sizes = materialise(counted.groupBy("doc_id").agg(F.min(F.struct("source", "tokens")).alias("d")).select("doc_id", "d.*"), "sizes")
+        totals = {r.source: (r.docs, r.n) for r in self.sizes.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("n")).collect()}  # a row per source
+        self.buckets = max(1, -(-max([docs for docs, _ in totals.values()], default=0) // bucket_docs))
+        self.tokens = {s: totals.get(s, (0, 0))[1] for s in goal}
         self.blocks = {s: -(-n // block_tokens) for s, n in self.tokens.items()}
         self.total = sum(self.tokens.values()) if total_tokens is None else total_tokens
         self.names = sorted(goal)
@@ -145,48 +125,61 @@ class Mixture:
             # A short last block stands for less than a block's tokens.
             per_block = self.tokens[s] / self.blocks[s] if self.blocks[s] else 1
             self.quota[s] = min(round(share * self.total / per_block), max(0, repeats) * self.blocks[s])
-        self.shards = list(shard_counts(np.array([self.quota[s] for s in self.names], dtype=np.int64), shard_blocks, seed)) if self.names else []
+        #: Where the slots of each source begin among all slots.
+        self.edges = np.cumsum([0, *[self.quota[s] for s in self.names]]).astype(np.int64)
 
     def slots(self) -> DataFrame:
         """``shard``, ``source``, ``slot``, ``block``: which block fills each slot of the mix."""
-        given = np.zeros(len(self.names), dtype=np.int64)
-        rows = []
-        for k, counts in enumerate(self.shards):
-            rows += [(k, n, int(given[n]), int(c)) for n, c in enumerate(counts) if c]
-            given += counts
-        names, blocks, seed = self.names, self.blocks, self.seed
+        names, blocks, seed, edges, size = self.names, self.blocks, self.seed, self.edges, self.shard_blocks
+        total = int(edges[-1])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                n, slot = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                place = batch.column(0).to_numpy()
+                drawn = permuted(place, total, seed)
+                n = np.searchsorted(edges, drawn, side="right") - 1
+                slot = drawn - edges[n]
                 block = np.zeros(len(slot), dtype=np.int64)
                 for s in np.unique(n):
-                    size = blocks[names[s]]
-                    for turn in np.unique(slot[n == s] // size):
-                        at = np.flatnonzero((n == s) & (slot // size == turn))
-                        block[at] = permuted(slot[at] % size, size, seed * 1_000_003 + int(s) * 1009 + int(turn))
+                    held = blocks[names[s]]
+                    for turn in np.unique(slot[n == s] // held):
+                        at = np.flatnonzero((n == s) & (slot // held == turn))
+                        block[at] = permuted(slot[at] % held, held, seed * 1_000_003 + (int(s) + 1) * 1009 + int(turn))
                 source = pa.array([names[s] for s in n], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0), source, batch.column(2), pa.array(block)], names=["shard", "source", "slot", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array(place // size), source, pa.array(slot), pa.array(block)], names=["shard", "source", "slot", "block"])
+
+        parts = max(1, -(-total // 500_000), min(total // 4096, self.spark.sparkContext.defaultParallelism))
+        return self.spark.range(0, total, 1, parts).mapInArrow(run, "shard bigint, source string, slot bigint, block bigint")
+
+    def _pieces(self) -> DataFrame:
+        """``doc_id``, ``source``, ``tokens``, ``block``, ``start``, ``held``: the tokens that each document has in each block."""
+        bucket = F.pmod(F.xxhash64("doc_id"), F.lit(self.buckets)).cast("int")
+        sizes = self.sizes.withColumn("bucket", bucket)
+        levels = sizes.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
+        ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket
+        base = levels.select("source", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
+        before = Window.partitionBy("source", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
+        laid = sizes.withColumn("at", F.coalesce(F.sum("tokens").over(before), F.lit(0))).join(base, ["source", "bucket"])
+        laid = laid.withColumn("at", F.col("at") + F.col("base"))
+        size = self.block_tokens
+        block = F.explode(F.expr(f"sequence(at div {size}, (at + greatest(tokens, 1) - 1) div {size})"))
+        parts = laid.select("doc_id", "source", "tokens", "at", block.alias("block"))
+        start = F.greatest(F.col("at"), F.col("block") * size)
+        end = F.least(F.col("at") + F.col("tokens"), (F.col("block") + 1) * size)
+        return parts.select("doc_id", "source", "tokens", "block", (start - F.col("at")).alias("start"), (end - start).alias("held"))
 
-        plan = self.spark.createDataFrame(rows, "shard int, n int, start bigint, c bigint").repartition(F.col("shard"))
-        each = plan.select("shard", "n", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("c") - 1)).alias("slot"))
-        return each.mapInArrow(run, "shard int, source string, slot bigint, block bigint")
+    def mixed(self) -> DataFrame:
+        """The mix itself: ``shard``, ``source``, ``slot``, ``block`` and, per document in the block, ``doc_id``, ``start`` and ``held`` (tokens)."""
+        pieces = self._pieces().where("held > 0").select("source", "block", "doc_id", "start", "held")
+        return self.slots().join(pieces.hint("merge"), ["source", "block"]).select("shard", "source", "slot", "block", "doc_id", "start", "held")
 
     def usage(self) -> DataFrame:
         """``doc_id``, ``source``, ``tokens``, ``times_used``, ``tokens_used``: every document with a target.
 
         ``times_used`` is the highest use of any of its blocks, ``tokens_used`` counts only what the mix holds of it.
         """
-        starts = self.spark.createDataFrame(self.starts, "source string, bucket int, base bigint")
-        before = Window.partitionBy("source", "bucket").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-        laid = self.sizes.join(F.broadcast(starts), ["source", "bucket"])  # sources times buckets rows
-        laid = laid.withColumn("at", F.col("base") + F.coalesce(F.sum("tokens").over(before), F.lit(0)))
-        size = self.block_tokens
-        block = F.explode(F.expr(f"sequence(at div {size}, (at + greatest(tokens, 1) - 1) div {size})"))
-        parts = laid.select("doc_id", "source", "tokens", "at", block.alias("block"))
-        held = F.least(F.col("at") + F.col("tokens"), (F.col("block") + 1) * size) - F.greatest("at", F.col("block") * size)
         used = self.slots().groupBy("source", "block").agg(F.count("*").alias("uses"))
-        joined = parts.withColumn("held", held).join(used.hint("merge"), ["source", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+        joined = self._pieces().join(used.hint("merge"), ["source", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
         return joined.groupBy("doc_id", "source").agg(F.first("tokens").alias("tokens"), F.max("uses").cast("bigint").alias("times_used"), F.sum(F.col("held") * F.col("uses")).cast("bigint").alias("tokens_used"))
 
     def shares(self) -> DataFrame:

@@ -22,5 +22,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).shares()
 
 
-QUERIES = {"p8_usage": p8_usage, "p8_shares": p8_shares}
+def p8_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix: each slot of each output shard with the documents of its block."""
+    return _mixture(spark, sf_dir).mixed()
+
+
+QUERIES = {"p8_usage": p8_usage, "p8_shares": p8_shares, "p8_blocks": p8_blocks}
 SQL: dict[str, str] = {}

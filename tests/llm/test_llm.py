@@ -453,6 +453,32 @@ def test_shares_and_caps(spark):
     assert len({(r.source, r.slot) for r in slots}) == len(slots)
     again = sorted(tuple(r) for r in m.usage().collect())
     assert again == sorted(tuple(r) for r in usage)
+    # The mix holds what the usage says, in full blocks but for the last of a source.
+    rows = m.mixed().collect()
+    held = {}
+    for r in rows:
+        held[r.doc_id] = held.get(r.doc_id, 0) + r.held
+    assert held == {r.doc_id: r.tokens_used for r in usage if r.tokens_used}
+    per = {}
+    for r in rows:
+        per[r.source, r.slot] = per.get((r.source, r.slot), 0) + r.held
+    assert all(n == 32 or n == m.tokens[s] % 32 for (s, _), n in per.items()) and len(per) == len(slots)
+    # Every shard is full and each source is spread over the shards.
+    by_shard = {}
+    for r in slots:
+        by_shard.setdefault(r.shard, []).append(r.source)
+    assert all(len(v) == 16 for k, v in by_shard.items() if k != max(by_shard))
+    assert sum("a" in v for v in by_shard.values()) > 0.9 * len(by_shard)
+
+
+def test_shard_counts_are_draws_without_replacement():
+    from medloom.llm.mixing import permuted
+
+    counts = np.array([np.bincount(permuted(np.arange(3000), 3000, seed)[:300] < 1000, minlength=2)[1] for seed in range(300)])
+    spread = 300 * (1 / 3) * (2 / 3) * (2700 / 2999)  # variance of the hypergeometric law
+    assert abs(counts.mean() - 100) < 2 and 0.7 * spread < counts.var() < 1.4 * spread
+    big = permuted(np.arange(5), 10**12, 3)
+    assert len(set(big.tolist())) == 5 and (0 <= big).all() and (big < 10**12).all()
 
 
 def test_mixing_nothing(spark):
