@@ -9,8 +9,13 @@ lists of the next rarest terms at their places, and checks the survivors word by
 word. A segment holds all postings of its documents, so the search itself moves
 no data; only frequencies and results are shuffled.
 
-The test items are a bounded side: blocks of at most ``block_items`` items are
-sent to the tasks, however many there are.
+The corpus is tokenised and indexed once, for the words of all items. The items are a
+stated query set: they are searched in blocks of at most ``block_items``, each of which is
+sent to the tasks and reads the index, not the corpus.
+
+For proximity matches a window may lack some words, so it starts from as many of its
+rarest terms as that, and one more, and asks for one further of them nearby: whichever
+words are missing, one start is left.
 """
 
 from __future__ import annotations
@@ -102,17 +107,19 @@ def document_frequencies(index: DataFrame, size: int) -> np.ndarray:
 
 
 class Probes:
-    """For every window of an item: its rarest term and the next rarest ones, as flat arrays."""
+    """For every window of an item: its rarest terms, one more than may be ``missing``, with the next rarest ones, as flat arrays."""
 
-    def __init__(self, items: list[np.ndarray], frequency: np.ndarray, min_words: int, seconds: int = 2) -> None:
+    def __init__(self, items: list[np.ndarray], frequency: np.ndarray, min_words: int, missing: int = 0) -> None:
         rows: dict[tuple[int, int], set[int]] = {}
+        starts, pool = missing + 1, missing + (2 if missing else 3)
         for k, terms in enumerate(items):
             for start in range(len(terms) - min_words + 1):
                 window = terms[start : start + min_words]
                 order = np.argsort(frequency[window], kind="stable")
                 # A term that the window repeats says nothing new.
-                fresh = [int(o) for n, o in enumerate(order) if window[o] not in window[order[:n]]]
-                rows.setdefault((k, start + fresh[0]), set()).update(start + o for o in fresh[1 : 1 + seconds])
+                fresh = [int(o) for n, o in enumerate(order) if window[o] not in window[order[:n]]][:pool]
+                for first in fresh[:starts]:
+                    rows.setdefault((k, start + first), set()).update(start + o for o in fresh if o != first)
         self.item = np.array([k for k, _ in rows], dtype=np.int64)
         self.place = np.array([p for _, p in rows], dtype=np.int64)
         most = max([len(s) for s in rows.values()], default=0)
@@ -190,25 +197,27 @@ def leaked(
 ) -> DataFrame:
     """Documents that hold test passages: one row per document and item, with the longest match.
 
-    ``kind`` 'exact': at least ``min_words`` consecutive words of the item. With ``slack`` > 0 also 'near': within
-    ``slack`` words of their places, ``share`` of some ``min_words`` words of the item occur, the rarest among them.
+    ``kind`` 'exact': at least ``min_words`` consecutive words of the item. With ``slack`` > 0 also 'near': ``share`` of
+    some ``min_words`` words of the item occur within ``slack`` words of their places, as counted from one of the rarest of them.
     ``words`` is the longest exact run, ``matched`` the item's words found at about their places, ``doc_word`` and
     ``item_word`` where that run starts. Null ids, null and empty texts and items of fewer than ``min_words`` words give
     no row; repeated rows count once; empty tables give an empty result. Other columns are never read.
     """
     texts = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(item_text).cast("string").alias("text")).where("id IS NOT NULL AND length(text) > 0").dropDuplicates()
-    blocks = max(1, -(-texts.count() // block_items))
+    rows = sorted(texts.collect())  # the query set
+    hashes, starts = words([r.text for r in rows])
+    vocabulary, flat = np.unique(hashes, return_inverse=True)
+    if not len(vocabulary):
+        return docs.sparkSession.createDataFrame([], RESULT)
+    index = materialise(build_index(docs, doc_id, doc_text, vocabulary), "postings")
+    frequency = document_frequencies(index, len(vocabulary))
+    missing = int((1 - share) * min_words + 1e-9) if slack else 0
     parts = []
-    for k in range(blocks):
-        rows = sorted(texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k).collect())
-        hashes, starts = words([r.text for r in rows])
-        vocabulary, flat = np.unique(hashes, return_inverse=True)
-        if not len(vocabulary):
-            continue
-        ids = [r.id for r in rows]
-        item_terms = [flat[starts[n] : starts[n + 1]] for n in range(len(rows))]
-        index = materialise(build_index(docs, doc_id, doc_text, vocabulary), "postings")
-        probes = Probes(item_terms, document_frequencies(index, len(vocabulary)), min_words)
+    for first in range(0, len(rows), block_items):
+        block = range(first, min(first + block_items, len(rows)))
+        ids = [rows[n].id for n in block]
+        item_terms = [flat[starts[n] : starts[n + 1]] for n in block]
+        probes = Probes(item_terms, frequency, min_words, missing)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, item_terms=item_terms, probes=probes) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -222,7 +231,5 @@ def leaked(
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "item_id", "kind", "words", "matched", "doc_word", "item_word"])
 
         parts.append(index.select("docs", "terms", "lengths", "doc", "pos").mapInArrow(run, RESULT))
-    if not parts:
-        return docs.sparkSession.createDataFrame([], RESULT)
     best = F.max_by(F.struct("kind", "words", "matched", "doc_word", "item_word"), F.struct("words", "matched", -F.col("doc_word"), -F.col("item_word")))
     return reduce(DataFrame.union, parts).groupBy("doc_id", "item_id").agg(best.alias("best")).select("doc_id", "item_id", "best.*")
