@@ -1,14 +1,17 @@
 """Long exact spans shared between records (problem 9): relative Lempel-Ziv factors against indexed blocks.
 
-Every text is indexed by *reference blocks*: substrings of ``block`` characters
-chosen by content (the least hash in each window), so that any span of
-``min_chars`` holds at least one, the same one wherever the span occurs.
+Equal texts are one record with copies. Every text is indexed by *reference blocks*:
+substrings of ``block`` characters chosen by content (the least hash in each window), so
+that any span of ``min_chars`` holds at least one, the same one wherever the span occurs.
 Blocks seen in two or more records are the references. A record is factored
-against every reference block it holds: the factor is the longest common
-extension to both sides, checked character by character at its boundaries in
-the text around the block. Factors of ``min_chars`` or more are the spans.
-
-Skew: occurrences of a block with equal surroundings form one class, so copies
+against every reference block it holds: the match is extended to both sides as far as
+characters agree, checked one by one in the text around the block, and matches
+that overlap at one shift between two records are joined to one factor, so that a factor
+is as long as the two records agree. Factors of ``min_chars`` or more are the shared spans. From its
+factors each record is parsed greedily from left to right: at each place the factor that
+reaches furthest, else a literal up to the next; the phrases say how much of it is shared.
+
+Skew: occurrences of a block with equal surroundings form one class, so copies of a passage
 are compared once. Blocks with few classes compare them pairwise; blocks with
 more than ``pairwise`` classes (a short notice in countless records) are joined
 on the hashes of every possible span around the block instead, which meets only
@@ -18,10 +21,11 @@ true matches. Nothing is dropped either way.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom.llm.arrays import chunks, code_points, prefix_hashes, range_hashes, sliding_argmin
@@ -38,12 +42,13 @@ def _pieces(ids: list, texts: list[str], overlap: int) -> Iterator[tuple[int, in
 
 
 def reference_blocks(docs: DataFrame, id_col: str, text_col: str, min_chars: int, block: int) -> DataFrame:
-    """The blocks of every text: ``fp`` (hash), ``doc``, ``pos`` (zero-based). Texts under ``min_chars`` have none."""
+    """The blocks of every text: ``fp`` (hash), ``doc``, ``pos`` (zero-based), ``digest`` (of the whole text). Texts under ``min_chars`` have none."""
     width = min_chars - block + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = list(_pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist(), min_chars - 1))
+            texts = batch.column(1).to_pylist()
+            pieces = list(_pieces(list(zip(batch.column(0).to_pylist(), map(_digest, texts))), texts, min_chars - 1))
             for a, b in chunks([p[2] for p in pieces], CHUNK):
                 codes, starts = code_points([p[2] for p in pieces[a:b]])
                 if len(codes) < min_chars:
@@ -55,15 +60,20 @@ def reference_blocks(docs: DataFrame, id_col: str, text_col: str, min_chars: int
                 piece = np.searchsorted(starts, np.arange(len(places)), side="right") - 1
                 chosen = np.unique(places[np.arange(len(places)) + min_chars <= starts[piece + 1]])
                 piece = np.searchsorted(starts, chosen, side="right") - 1
-                doc = np.array([p[0] for p in pieces[a:b]], dtype=np.int64)[piece]
+                doc = np.array([p[0][0] for p in pieces[a:b]], dtype=np.int64)[piece]
+                digest = pa.array([p[0][1] for p in pieces[a:b]], pa.binary()).take(pa.array(piece))
                 offset = np.array([p[1] for p in pieces[a:b]], dtype=np.int64)[piece]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[chosen].view(np.int64)), pa.array(doc), pa.array((chosen - starts[piece] + offset).astype(np.int32))],
-                    names=["fp", "doc", "pos"],
+                    [pa.array(hashes[chosen].view(np.int64)), pa.array(doc), pa.array((chosen - starts[piece] + offset).astype(np.int32)), digest],
+                    names=["fp", "doc", "pos", "digest"],
                 )
 
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    return source.where(f"doc IS NOT NULL AND length(text) >= {min_chars}").mapInArrow(run, "fp bigint, doc bigint, pos int")
+    return source.where(f"doc IS NOT NULL AND length(text) >= {min_chars}").mapInArrow(run, "fp bigint, doc bigint, pos int, digest binary")
+
+
+def _digest(text: str) -> bytes:
+    return blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
 def _surroundings(docs: DataFrame, block: int, need: int) -> DataFrame:
@@ -140,7 +150,7 @@ class SharedSpans:
     """The classes of block occurrences of a corpus and the factors between them.
 
     Null ids, null and short texts take no part; repeated rows count as one record; texts equal throughout share all of
-    themselves; an empty table gives empty results. Columns other than the two named are never read.
+    themselves and are compared with others once; an empty table gives empty results. Columns other than the two named are never read.
     """
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 300, block: int = 100, pairwise: int = 200) -> None:
@@ -148,7 +158,13 @@ class SharedSpans:
         need = min_chars - block
         blocks = materialise(reference_blocks(docs, id_col, text_col, min_chars, block), "blocks")
         shared = blocks.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("fp")
-        found = blocks.join(shared, "fp")
+        owners = blocks.select("digest", "doc").distinct()
+        texts = owners.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+        #: Every record of ``min_chars`` with the first record of equal text, and how many have it.
+        self.copies = materialise(owners.join(texts, "digest").select("doc", "rep", "copies"), "copies")
+        first = self.copies.where("doc = rep").select("doc").distinct()
+        found = blocks.select("fp", "doc", "pos").join(shared, "fp").join(first, "doc")
+        found = found.join(found.groupBy("fp").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("fp"), "fp")
         text = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).where(f"doc IS NOT NULL AND length(text) >= {min_chars}")
         places = found.groupBy("doc").agg(F.collect_list(F.struct("fp", "pos")).alias("places"))  # as many as its text is long
         around = _surroundings(places.join(text, "doc").select("doc", "text", "places.fp", "places.pos"), block, need)
@@ -169,31 +185,89 @@ class SharedSpans:
         met = keys.withColumnRenamed("class", "class_a").join(keys.withColumnRenamed("class", "class_b").hint("merge"), ["fp", "key"])
         met = met.where("class_a < class_b").select("fp", "class_a", "class_b").dropDuplicates()
         keyed = met.join(side(many, "a"), ["fp", "class_a"]).join(side(many, "b"), ["fp", "class_b"])
-        self.factors = materialise(_factors(direct.unionByName(keyed), need), "factors")
-        self.whole = classes.where(f"lo < hi AND length(left) + length(right) >= {need}")
+        met = _factors(direct.unionByName(keyed), need)
+        own = classes.where(f"lo < hi AND length(left) + length(right) >= {need}")
+        met = met.union(own.select("class", "class", F.length("left"), F.length("right")))
+        self.matches = materialise(met, "matches")
+
+    def factors(self) -> DataFrame:
+        """``doc_a``, ``start_a``, ``doc_b``, ``start_b``, ``chars``: the factors of ``min_chars`` or more that two different texts share.
+
+        Of equal texts the first record stands for all; ``doc_a`` < ``doc_b``.
+        """
+        a, b = (self.members.select(F.col("class").alias(f"class_{s}"), F.col("doc").alias(f"doc_{s}"), F.col("pos").alias(f"pos_{s}")) for s in "ab")
+        both = self.matches.join(a, "class_a").join(b, "class_b").where("doc_a <> doc_b")
+        turned = F.col("doc_a") > F.col("doc_b")
+        start = {s: F.col(f"pos_{s}") - F.col("l") for s in "ab"}
+        pick = lambda x, y: F.when(turned, y).otherwise(x)
+        one = both.select(
+            pick(F.col("doc_a"), F.col("doc_b")).alias("doc_a"), pick(start["a"], start["b"]).alias("s"), pick(F.col("doc_b"), F.col("doc_a")).alias("doc_b"),
+            (pick(start["b"], start["a"]) - pick(start["a"], start["b"])).alias("shift"), (F.col("l") + F.col("r") + self.block).alias("n"),
+        ).groupBy("doc_a", "doc_b", "shift", "s").agg(F.max("n").alias("n"))
+        # Matches of one shift that overlap or touch are one factor.
+        w = Window.partitionBy("doc_a", "doc_b", "shift").orderBy("s")
+        reached = F.max(F.col("s") + F.col("n")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        parts = one.withColumn("new", F.coalesce((F.col("s") > reached).cast("int"), F.lit(1))).withColumn("part", F.sum("new").over(w))
+        whole = parts.groupBy("doc_a", "doc_b", "shift", "part").agg(F.min("s").alias("start_a"), F.max(F.col("s") + F.col("n")).alias("end"))
+        return whole.where(F.col("end") - F.col("start_a") >= self.min_chars).select("doc_a", "start_a", "doc_b", (F.col("start_a") + F.col("shift")).alias("start_b"), (F.col("end") - F.col("start_a")).alias("chars"))
+
+    def links(self) -> DataFrame:
+        """``doc_a``, ``doc_b``: different texts that share a span, each pair once, by their first records."""
+        return self.factors().select("doc_a", "doc_b").distinct()
 
     def pairs(self) -> DataFrame:
-        """``doc_a``, ``doc_b``: the records that share a span, smaller id first, each pair once."""
-        member = self.members.select("class", "doc").dropDuplicates()
-        linked = self.factors.select("class_a", "class_b").union(self.whole.select("class", "class")).dropDuplicates()
-        a, b = (member.select(F.col("class").alias(f"class_{s}"), F.col("doc").alias(f"doc_{s}")) for s in "ab")
-        both = linked.join(a, "class_a").join(b, "class_b").where("doc_a <> doc_b")
-        return both.select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b")).dropDuplicates()
+        """``doc_a``, ``doc_b``: all records that share a span, copies included, smaller id first, each pair once."""
+        a, b = (self.copies.select(F.col("doc").alias(f"x_{s}"), F.col("rep").alias(f"doc_{s}")) for s in "ab")
+        between = self.links().join(a, "doc_a").join(b, "doc_b").select("x_a", "x_b")
+        equal = self.copies.where("copies > 1").select("rep", "doc")
+        inside = equal.withColumnRenamed("doc", "x_a").join(equal.withColumnRenamed("doc", "x_b"), "rep").where("x_a < x_b").select("x_a", "x_b")
+        return between.select(F.least("x_a", "x_b").alias("doc_a"), F.greatest("x_a", "x_b").alias("doc_b")).union(inside)
+
+    def members_of(self) -> DataFrame:
+        """``doc_id``, ``class_id``, ``copies``, ``links``: every sharing record once: the first record of its text, how many
+        have that text, and with how many other texts it shares a span."""
+        linked = self.links()
+        ends = linked.select(F.col("doc_a").alias("rep")).union(linked.select("doc_b")).groupBy("rep").agg(F.count("*").alias("links"))
+        joined = self.copies.join(ends, "rep", "left").where("copies > 1 OR links IS NOT NULL")
+        return joined.select(F.col("doc").alias("doc_id"), F.col("rep").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+    def parse(self) -> DataFrame:
+        """``doc``, ``start``, ``chars``, ``ref``, ``ref_start``: the phrases of the greedy parse of each first record of a text, from left
+        to right and without overlap, with the record and place that each is copied from."""
+        found = self.factors()
+        sides = [found.select(F.col(f"doc_{x}").alias("doc"), F.col(f"start_{x}").alias("s"), (F.col(f"start_{x}") + F.col("chars")).alias("e"), F.col(f"doc_{y}").alias("ref"), F.col(f"start_{y}").alias("ref_s")) for x, y in ("ab", "ba")]
+        # Of factors that start at one place the longest; so a record has no more than its text has characters.
+        longest = sides[0].union(sides[1]).groupBy("doc", "s").agg(F.max_by(F.struct("e", "ref", "ref_s"), F.struct("e", -F.col("ref"), -F.col("ref_s"))).alias("f"))
+        lists = longest.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "f.e", "f.ref", "f.ref_s"))).alias("factors"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out: list[tuple] = []
+                for doc, factors in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    at, best, n = 0, None, 0
+                    while True:
+                        while n < len(factors) and factors[n]["s"] <= at:
+                            best = max(best, factors[n], key=lambda f: f["e"]) if best else factors[n]
+                            n += 1
+                        if best and best["e"] > at:
+                            out.append((doc, at, best["e"] - at, best["ref"], best["ref_s"] + at - best["s"]))
+                            at = best["e"]
+                        elif n < len(factors):
+                            at = factors[n]["s"]  # literals up to here
+                        else:
+                            break
+                if out:
+                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc", "start", "chars", "ref", "ref_start"])
+
+        return lists.mapInArrow(run, "doc bigint, start int, chars int, ref bigint, ref_start int")
 
     def coverage(self) -> DataFrame:
-        """``doc_id``, ``shared_chars``, ``spans``: how much of each sharing record lies in spans found elsewhere."""
-        ends = self.classes.select(F.col("class").alias("other"), "lo", "hi")
-        one = self.factors.select(F.col("class_a").alias("class"), F.col("class_b").alias("other"), "l", "r")
-        two = self.factors.select(F.col("class_b").alias("class"), F.col("class_a").alias("other"), "l", "r")
-        own = self.whole.select("class", F.col("class").alias("other"), F.length("left").alias("l"), F.length("right").alias("r"))
-        # Of equal factors of a class it only matters whether some other record has them.
-        reach = one.union(two).union(own).join(ends, "other").groupBy("class", "l", "r").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        start, end = F.col("pos") - F.col("l"), F.col("pos") + F.col("r") + self.block
-        spans = self.members.join(reach, "class").where("lo <> doc OR hi <> doc").select("doc", start.alias("s"), end.alias("e")).dropDuplicates()
-        by_doc = spans.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
-        union = F.expr(
-            "aggregate(spans, named_struct('covered', 0, 'islands', 0, 'until', 0), (acc, x) -> named_struct("
-            "'covered', acc.covered + greatest(0, x.e - greatest(x.s, acc.until)), "
-            "'islands', acc.islands + if(x.s > acc.until OR acc.islands = 0, 1, 0), 'until', greatest(acc.until, x.e)))"
-        )
-        return by_doc.select(F.col("doc").alias("doc_id"), union.alias("u")).select("doc_id", F.col("u.covered").cast("bigint").alias("shared_chars"), F.col("u.islands").cast("bigint").alias("spans"))
+        """``doc_id``, ``shared_chars``, ``spans``: how much of each sharing record lies in spans found elsewhere, and in how
+        many stretches. A text with copies is shared whole: ``shared_chars`` is null and ``spans`` 1."""
+        before = Window.partitionBy("doc").orderBy("start")
+        new = F.coalesce(F.col("start") > F.lag(F.col("start") + F.col("chars")).over(before), F.lit(True))
+        parsed = self.parse().withColumn("new", new).groupBy("doc").agg(F.sum("chars").alias("shared_chars"), F.count_if("new").alias("spans"))
+        single = self.copies.where("copies = 1").select("doc")
+        whole = self.copies.where("copies > 1").select(F.col("doc").alias("doc_id"), F.lit(None).cast("bigint").alias("shared_chars"), F.lit(1).cast("bigint").alias("spans"))
+        return parsed.join(single, "doc", "left_semi").select(F.col("doc").alias("doc_id"), "shared_chars", "spans").union(whole)

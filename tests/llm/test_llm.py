@@ -532,7 +532,30 @@ def test_spans_equal_brute_force(spark, pairwise):
     s = SharedSpans(df, min_chars=60, block=24, pairwise=pairwise)
     got = [tuple(r) for r in s.pairs().collect()]
     assert len(got) == len(set(got)) and set(got) == pairs
-    assert {r.doc_id: r.shared_chars for r in s.coverage().collect()} == covered
+    length = {i: len(t or "") for i, t in docs}
+    assert {r.doc_id: r.shared_chars or length[r.doc_id] for r in s.coverage().collect()} == covered
+    # Phrases are what they are copied from, do not overlap and are as long as the spans need.
+    texts = dict(docs)
+    last = {}
+    for r in sorted(s.parse().collect(), key=lambda r: (r.doc, r.start)):
+        assert texts[r.doc][r.start : r.start + r.chars] == texts[r.ref][r.ref_start : r.ref_start + r.chars] and r.doc != r.ref
+        assert r.start >= last.get(r.doc, 0)
+        last[r.doc] = r.start + r.chars
+    assert all(f.chars >= 60 and texts[f.doc_a][f.start_a : f.start_a + f.chars] == texts[f.doc_b][f.start_b : f.start_b + f.chars] for f in s.factors().collect())
+    classes = {r.doc_id: (r.class_id, r.copies) for r in s.members_of().collect()}
+    assert classes.keys() == covered.keys() and classes[100] == classes[101] == classes[3] == (3, 3)
+
+
+def test_a_factor_is_as_long_as_two_records_agree(spark):
+    from medloom.llm.spans import SharedSpans
+
+    rng = random.Random(3)
+    line = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    common = line(5000)
+    other = "".join(rng.choices("ijklmn", k=500))
+    docs = [(1, other[:70] + common + other[:20]), (2, common), (3, other + common[1000:1100])]
+    got = [tuple(r) for r in SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=60, block=24).factors().collect()]
+    assert set(got) >= {(1, 70, 2, 0, 5000), (1, 1070, 3, 500, 100), (2, 1000, 3, 500, 100)} and len(got) == 3
 
 
 def test_spans_in_pieces_and_empty(spark, monkeypatch):
@@ -543,7 +566,8 @@ def test_spans_in_pieces_and_empty(spark, monkeypatch):
     pairs, covered = brute_spans(docs, 60)
     s = spans.SharedSpans(spark.createDataFrame(docs, "doc_id long, text string"), min_chars=60, block=24)
     assert {tuple(r) for r in s.pairs().collect()} == pairs
-    assert {r.doc_id: r.shared_chars for r in s.coverage().collect()} == covered
+    length = {i: len(t or "") for i, t in docs}
+    assert {r.doc_id: r.shared_chars or length[r.doc_id] for r in s.coverage().collect()} == covered
     none = spans.SharedSpans(spark.createDataFrame([], "doc_id long, text string"))
     assert none.pairs().count() == 0 and none.coverage().count() == 0
 
