@@ -59,7 +59,7 @@ def p3_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _relation(source: int, node: Repeated):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return relation(_shredded(spark, sf_dir, source), node)
+        return relation(_shredded(spark, sf_dir, source), node).drop("rest")  # all leaves: p3_leaves
 
     return query
 
@@ -119,3 +119,18 @@ SQL = {
     + "\n"
     + " UNION ".join(f"SELECT '{r}' AS rel, id AS parent_id, path AS child_path FROM {r}" for r in FOUND)
 }
+
+
+def _table_sql(found: str, node: Repeated, level: str) -> str:
+    """The twin of ``relation``: the levels of ``p3_found``, and the leaves of one."""
+    columns = ", ".join("coalesce(" + ", ".join(f"o ->> '$.{k}'" for k in keys) + f') AS "{keys[0]}"' for keys in node.leaves)
+    parent = "CASE WHEN contains(path, '.') THEN regexp_extract(path, '^(.*)\\.\\d+$', 1) END"
+    whole = " WHERE json_type(o) = 'OBJECT'" if node is SCAN else ""
+    return found[: found.index("\nSELECT")] + f"\nSELECT DISTINCT id AS parent_id, {parent} AS parent_path, path AS child_path, {columns} FROM {level}{whole}"
+
+
+for _query, _node in (
+    ("p3_scans", SCAN), ("p3_scan_medications", MEDICATION), ("p3_scan_candidates", CANDIDATE), ("p3_scan_ingredients", INGREDIENT), ("p3_expected_medications", EXPECTED),
+    ("p3_expected_references", REFERENCE), ("p3_suggestions", SUGGESTION), ("p3_suggestion_evidence", EVIDENCE),
+):
+    SQL[_query] = _table_sql(SQL["p3_found"], _node, _node.rel)
