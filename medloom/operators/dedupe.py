@@ -86,3 +86,15 @@ def key_delta(existing: DataFrame, desired: DataFrame, keys: Sequence[str]) -> D
 def digest(*parts: Column) -> Column:
     """A hash of ordered parts, for change detection."""
     return F.sha2(F.concat_ws("\u001f", *[F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts]), 256)
+
+
+def enrich(base: DataFrame, extra: DataFrame, key: Column) -> DataFrame:
+    """``base`` with those rows of ``extra`` whose key (an expression over either) it does not have; null keys are never had."""
+    known = base.select(key.alias("_key")).where("_key IS NOT NULL").distinct()
+    new = extra.withColumn("_key", key).join(known, "_key", "left_anti").drop("_key")
+    return base.unionByName(new, allowMissingColumns=True)
+
+
+def cleaned(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` with the columns trimmed and null as ''."""
+    return df.withColumns({c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in columns})

@@ -77,3 +77,17 @@ def top1_accuracy(scored: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Per class: cases, hits and accuracy of the first guess."""
     hit = F.col(truth) == F.col(predicted)
     return scored.groupBy(truth).agg(F.count("*").alias("n"), F.count_if(hit).alias("hits"), F.round(F.count_if(hit) / F.count("*"), 6).alias("accuracy"))
+
+
+def evaluation(scored: DataFrame, truth: str, predicted: str, status: str = "status") -> DataFrame:
+    """One row: cases, first guesses right, assigned, assigned right, and their rates."""
+    hit, given = F.col(truth) == F.col(predicted), F.col(status) == "assigned"
+    counted = scored.agg(F.count("*").alias("total"), F.count_if(hit).alias("top1_correct"), F.count_if(given).alias("assigned"), F.count_if(given & hit).alias("assigned_correct"))
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), 4)
+    return counted.select("*", rate("top1_correct", "total").alias("top1_accuracy"), rate("assigned", "total").alias("assigned_rate"), rate("assigned_correct", "assigned").alias("assigned_precision"))
+
+
+def worst_classes(scored: DataFrame, truth: str, predicted: str, k: int = 20) -> DataFrame:
+    """The ``k`` classes with the lowest accuracy, of equal ones the smaller, then by name."""
+    per = top1_accuracy(scored, truth, predicted)
+    return per.orderBy("accuracy", "n", truth).limit(k)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom.functions.rules import SEVERITY, severity, severity_rank
@@ -51,3 +51,17 @@ def endpoint_catalogue(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Every end with its count over all records and its shortest spelling (by key)."""
     ends = pairs.select(F.explode(F.array(a, b)).alias("label")).withColumn("key", name_key(F.col("label"))).where("key <> ''")
     return ends.groupBy("key").agg(F.count("*").alias("n"), F.min_by("label", F.struct(F.length("label"), "label")).alias("label"))
+
+
+def severity_groups(found: DataFrame, by: str) -> DataFrame:
+    """Per ``by`` the interactions grouped by their original severity text: ``place``, ``severity_text``, ``severity``, ``n`` and
+    the sorted pairs. Groups are in order of severity, of one severity in Vietnamese order of the text."""
+    groups = found.groupBy(by, "severity_text", "severity").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("drug_a", "drug_b"))).alias("interactions"))
+    order = Window.partitionBy(by).orderBy(severity_rank(F.col("severity")), F.collate("severity_text", "vi"), "severity_text")
+    return groups.select(by, F.row_number().over(order).alias("place"), "severity_text", "severity", "n", "interactions")
+
+
+def severity_per_item(found: DataFrame, by: str) -> DataFrame:
+    """Per ``by`` and drug the highest severity of its interactions, and how many it has."""
+    ends = found.select(by, "severity", F.explode(F.array("drug_a", "drug_b")).alias("drug"))
+    return ends.groupBy(by, "drug").agg(F.min_by("severity", severity_rank(F.col("severity"))).alias("highest"), F.count("*").alias("n"))

@@ -120,3 +120,30 @@ def best_variant(asked: DataFrame, query: str, names: DataFrame, key: str, least
     fits = text.strength_fits(q, F.col(key)).cast("int")
     best = top_per_group(held, [query], [fits.desc(), F.desc("priority"), F.desc("ratio"), F.col(key)])
     return best.select(query, key, F.round(F.col("ratio") / 100, 3).alias("score"))
+
+
+def two_scorers(asked: DataFrame, query: str, names: DataFrame, name: str, least: float = 80.0, agree: float = 70.0, shortest: int = 4) -> DataFrame:
+    """``query``, ``name``, ``score``: the best name for each query by two scorers.
+
+    The best by token-sort ratio, or by partial ratio among names whose token-sort ratio is ``agree`` or more, where that
+    is higher; it must reach ``least`` and have a meaningful word in common. Queries of fewer than ``shortest`` letters have no
+    match; ties go to the first name. Candidates share a trigram with the query.
+    """
+    from medloom.functions import text
+    from medloom.functions.similarity import partial_ratio, token_sort_ratio
+
+    told = asked.select(F.trim(query).alias(query)).where(F.length(query) >= shortest).distinct()
+    near = trigram_join(told, query, names, name, 0.1).drop("sim")
+    sorted_ = near.withColumn("score", token_sort_ratio(F.lower(query), F.lower(name)))
+    first = top_per_group(sorted_, [query], [F.desc("score"), F.col(name)])
+    partial = sorted_.where(F.col("score") >= agree).withColumn("score", partial_ratio(F.lower(query), F.lower(name)))
+    both = first.withColumn("_n", F.lit(0)).unionByName(partial.withColumn("_n", F.lit(1)))
+    best = top_per_group(both, [query], [F.desc("score"), F.col("_n"), F.col(name)])
+    return best.where((F.col("score") >= least) & text.shares_root(F.col(query), F.col(name))).select(query, name, F.round("score", 1).alias("score"))
+
+
+def catalogue_with_fallback(asked: DataFrame, query: str, cached: DataFrame, name: str, now: Column, least: float = 0.3) -> DataFrame:
+    """``query``, ``name``, ``tier``: an entry of equal name that has not expired (0), else the most similar of all (1)."""
+    equal = asked.select(query).distinct().join(cached.where(F.col("expires_at") > now).select(name).distinct(), F.lower(query) == F.lower(name)).select(query, name, F.lit(0).alias("tier"), F.lit(1.0).alias("sim"))
+    near = trigram_join(asked, query, cached, name, least).select(query, name, F.lit(1).alias("tier"), "sim")
+    return top_per_group(equal.unionByName(near), [query], [F.col("tier"), F.desc("sim"), F.col(name)]).drop("sim")

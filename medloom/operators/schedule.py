@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medloom.functions.dates import day_period
+from medloom.functions.dates import day_period, due, soon
 
 
 def active_on(plans: DataFrame, day: Column, start: str = "start_date", end: str = "end_date", include_inactive: bool = True, active: str = "is_active") -> DataFrame:
@@ -55,3 +55,34 @@ def slot_rows(assignments: DataFrame, slot: str, item: Column) -> DataFrame:
     """Slots with their sorted items; slots without an item are left out."""
     held = assignments.where("pills > 0").groupBy(slot).agg(F.array_join(F.array_sort(F.collect_list(item)), ", ").alias("items"), F.sum("pills").alias("pills"))
     return held.where("pills > 0")
+
+
+def dose_priority(status: Column, at: Column, now: Column) -> Column:
+    """Due doses before those that come soon, then other pending, missed and done ones: 0 to 4."""
+    pending = status == "pending"
+    return F.when(pending & due(at, now), 0).when(pending & soon(at, now), 1).when(pending, 2).when(status == "missed", 3).otherwise(4)
+
+
+def plan_title(title: Column, first: Column, second: Column, n: Column) -> Column:
+    """A plan's own title, else made of the names of its first two of ``n`` drugs."""
+    # The words that make a title.
+    none, more = "Kế hoạch thuốc", " và {} thuốc khác"
+    lead, tail = more.split("{}")
+    rest = F.when(n > 2, F.concat(F.lit(lead), (n - 2).cast("string"), F.lit(tail))).otherwise("")
+    made = F.when(n == 0, none).when(n == 1, first).otherwise(F.concat(F.concat_ws(", ", first, second), rest))
+    return F.when(F.trim(F.coalesce(title, F.lit(""))) != "", title).otherwise(made)
+
+
+def has_ended(active: Column, end: Column, today: Column) -> Column:
+    """Inactive plans have ended, and those whose last day has passed."""
+    return ~active | F.coalesce(end < today, F.lit(False))
+
+
+def last_day(start: Column, end: Column, days: Column) -> Column:
+    """The end of a plan, where none is given that of its ``days``."""
+    return F.coalesce(end, F.date_add(start, (days - 1).cast("int")))
+
+
+def varies(pills: Column) -> Column:
+    """An aggregate: whether slots differ in their pills."""
+    return F.count_distinct(pills) > 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("relational", "nested", "units")
+MODULES = ("relational", "extended", "nested", "units")
 
 
 def _modules() -> list:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
+import time
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -112,22 +114,24 @@ class PagedReader(DataSourceReader):
 
     def __init__(self, options: dict, fetch: Callable[[str, int], str] | None = None) -> None:
         self.path, self.pages, self.retries = options["path"], int(options["pages"]), int(options.get("retries", 3))
-        self.first = int(options.get("first", 1))
-        self.fetch = fetch or _page_file
+        self.first, self.pause = int(options.get("first", 1)), float(options.get("pause", 1))
+        self.done = {int(n) for n in options.get("done", "").split(",") if n.strip()}
+        module, _, name = options.get("fetch", "").partition(":")
+        self.fetch = fetch or (getattr(importlib.import_module(module), name) if name else _page_file)
 
     def partitions(self) -> list[Page]:
-        return [Page(n) for n in range(self.first, self.first + self.pages)]
+        return [Page(n) for n in range(self.first, self.first + self.pages) if n not in self.done]
 
     def read(self, partition: Page) -> Iterator[tuple]:
         for attempt in range(self.retries):
             try:
                 body = self.fetch(self.path, partition.number)
                 break
-            except FileNotFoundError:
-                return
-            except OSError:
+            except OSError as failed:  # a missing page too
                 if attempt + 1 == self.retries:
                     raise
+                # A server that asks to wait says how long; else twice as long each time.
+                time.sleep(getattr(failed, "retry_after", self.pause * 2**attempt))
         for ordinal, row in enumerate(json.loads(body)):
             yield partition.number, ordinal, json.dumps(row, ensure_ascii=False)
 
@@ -138,7 +142,11 @@ def _page_file(path: str, number: int) -> str:
 
 
 class PagedSource(DataSource):
-    """``spark.dataSource.register(PagedSource)``; ``format("paged")`` with ``path``, ``pages``, ``first``, ``retries``."""
+    """``spark.dataSource.register(PagedSource)``; ``format("paged")`` with ``path``, ``pages``, ``first``, ``retries``.
+
+    ``pause``: seconds before the first retry, doubled each time; ``fetch``: 'module:function' that gives a page's text, else pages
+    are files of ``path``; ``done``: numbers of pages that an earlier run has landed (see ``pages_done``), which are not read again.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -149,3 +157,19 @@ class PagedSource(DataSource):
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
+
+
+def pages_done(landed: DataFrame) -> str:
+    """The option ``done`` that resumes a crawl after the pages of ``landed``; one number per page."""
+    return ",".join(str(r.page) for r in landed.select("page").distinct().orderBy("page").collect())
+
+
+def lookups(spark: SparkSession, path: str, key: str, schema: str) -> DataFrame:
+    """Answers of point lookups that were landed as JSON lines: ``key`` and the parsed ``answer``, the last of each key; broken ones are null."""
+    rows = spark.read.text(path).select(F.get_json_object("value", f"$.{key}").alias(key), F.from_json(F.get_json_object("value", "$.answer"), schema).alias("answer"), F.coalesce(F.get_json_object("value", "$.at"), F.lit("")).alias("_at"))
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("answer", F.struct("_at", F.to_json("answer"))).alias("answer"))
+
+
+def html_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Landed product pages: ``url`` (their file) and ``html``."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))

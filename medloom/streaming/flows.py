@@ -29,36 +29,48 @@ def gap_sessions(events: DataFrame, at: str, by: Sequence[str], gap: str, late:
     return grouped.agg(F.count("*").alias("n")).select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-STATE = "frequency long, confidence double, score double, confirmed boolean"
-MERGED = "session string, key string, frequency long, confidence double, score double, status string"
+STATE = "frequency long, confidence double, score double, confirmed boolean, first long, status string, texted long, text string, qualities string"
+MERGED = "session string, key string, frequency long, confidence double, score double, status string, text string, qualities string"
 
 
 def merge_sessions(items: DataFrame) -> DataFrame:
     """Running merge of the items of (session, key); every batch emits the keys that it changed.
 
-    ``items``: session, key, status, confidence, score. State is four numbers a key, whatever the number of items.
+    ``items``: session, key, status, confidence, score, text, quality and ``n``, their order. State is one row a key,
+    whatever the number of items. The last row of a key is that of ``sessions.merge_items`` over all of them.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, confidence, score, confirmed = state.get if state.exists else (0, float("-inf"), float("-inf"), False)
+        low, high = float("-inf"), 2**63 - 1
+        n, confidence, score, confirmed, first, status, texted, text, said = state.get if state.exists else (0, low, low, False, high, None, high, None, "")
+        qualities = set(said.split(",")) - {""}
         for pdf in frames:
             n += len(pdf)
             confidence, score = max(confidence, pdf.confidence.max()), max(score, pdf.score.max())
             confirmed = confirmed or bool((pdf.status == "confirmed").any())
-        state.update((n, float(confidence), float(score), confirmed))
-        yield pd.DataFrame([(*key, n, confidence, score, "confirmed" if confirmed else "unmapped")], columns=["session", "key", "frequency", "confidence", "score", "status"])
+            qualities |= set(pdf.quality.dropna())
+            if int(pdf.n.min()) < first:
+                row = pdf.loc[pdf.n.idxmin()]
+                first, status = int(row.n), row.status
+            filled = pdf[pdf.text.fillna("") != ""]
+            if len(filled) and int(filled.n.min()) < texted:
+                row = filled.loc[filled.n.idxmin()]
+                texted, text = int(row.n), row.text
+        said = ",".join(sorted(qualities))
+        state.update((n, float(confidence), float(score), confirmed, first, status, texted, text, said))
+        yield pd.DataFrame([(*key, n, confidence, score, "confirmed" if confirmed else status, text, said)], columns=["session", "key", "frequency", "confidence", "score", "status", "text", "qualities"])
 
     return items.groupBy("session", "key").applyInPandasWithState(step, MERGED, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def missed_doses(doses: DataFrame, logs: DataFrame, miss_after: str = "45 minutes") -> DataFrame:
+def missed_doses(doses: DataFrame, logs: DataFrame, miss_after: str = "45 minutes", late: str = "45 minutes") -> DataFrame:
     """Doses without a log entry by the time they count as missed.
 
     A left outer join of two streams on the occurrence, within the miss window: a dose is given out as missed when the
-    watermark passes the end of its window. ``doses``: occurrence, scheduled; ``logs``: log_occurrence, logged.
+    watermark passes the end of its window, and entries that arrive up to ``late`` after later ones still count. ``doses``: occurrence, scheduled; ``logs``: log_occurrence, logged.
     """
-    d = doses.withWatermark("scheduled", "0 seconds")
-    lg = logs.withWatermark("logged", "0 seconds")
+    d = doses.withWatermark("scheduled", late)
+    lg = logs.withWatermark("logged", late)
     inside = F.expr(f"occurrence = log_occurrence AND logged >= scheduled - INTERVAL 30 MINUTES AND logged <= scheduled + INTERVAL {miss_after}")
     return d.join(lg, inside, "leftOuter").where("log_occurrence IS NULL").select("occurrence", "scheduled", F.lit("missed").alias("status"))
 
