@@ -36,18 +36,25 @@ def _row_type(df: DataFrame) -> str:
     return "struct<" + ",".join(f"`{n}`:{t}" for n, t in df.dtypes) + ">"
 
 
-def neighbours(blocks: DataFrame, page: str, block: str, x1: str, x2: str, y1: str, y2: str) -> DataFrame:
+def neighbours(blocks: DataFrame, page: str, block: str, x1: str, x2: str, y1: str, y2: str, band: float = 50) -> DataFrame:
     """Per block the nearest one to its right (strictly overlapping heights) and below (overlapping widths).
 
-    Blocks meet within their page only; a page is as large as a sheet of text.
+    Blocks that overlap in height share a band of ``band`` units, so blocks to the right meet by page and band of rows,
+    blocks below by page and band of columns; no two blocks of a page meet that have none in common.
     """
     cols = [block, x1, x2, y1, y2]
-    a, b = (blocks.select(page, *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in ("a", "b"))
-    met = a.join(b, page).where(F.col(f"a_{block}") != F.col(f"b_{block}"))
+
+    def met(low: str, high: str) -> DataFrame:
+        """Pairs with a common band between ``low`` and ``high``."""
+        cut = lambda c: F.floor(F.col(c) / band)
+        spread = blocks.where(F.col(high) >= F.col(low)).select(page, *cols, F.explode(F.sequence(cut(low), cut(high))).alias("_band"))
+        a, b = (spread.select(page, "_band", *[F.col(c).alias(f"{s}_{c}") for c in cols]) for s in ("a", "b"))
+        return a.join(b.hint("merge"), [page, "_band"]).where(F.col(f"a_{block}") != F.col(f"b_{block}")).drop("_band")
+
     rows_meet = F.greatest(f"a_{y1}", f"b_{y1}") < F.least(f"a_{y2}", f"b_{y2}")
     columns_meet = F.greatest(f"a_{x1}", f"b_{x1}") < F.least(f"a_{x2}", f"b_{x2}")
-    right = met.where(rows_meet & (F.col(f"b_{x1}") >= F.col(f"a_{x2}"))).withColumn("dir", F.lit("right")).withColumn("_d", F.col(f"b_{x1}"))
-    below = met.where(columns_meet & (F.col(f"b_{y1}") >= F.col(f"a_{y2}"))).withColumn("dir", F.lit("below")).withColumn("_d", F.col(f"b_{y1}"))
+    right = met(y1, y2).where(rows_meet & (F.col(f"b_{x1}") >= F.col(f"a_{x2}"))).withColumn("dir", F.lit("right")).withColumn("_d", F.col(f"b_{x1}"))
+    below = met(x1, x2).where(columns_meet & (F.col(f"b_{y1}") >= F.col(f"a_{y2}"))).withColumn("dir", F.lit("below")).withColumn("_d", F.col(f"b_{y1}"))
     best = top_per_group(right.unionByName(below), [page, f"a_{block}", "dir"], [F.col("_d"), F.col(f"b_{block}")])
     return best.select(page, F.col(f"a_{block}").alias("src"), F.col(f"b_{block}").alias("dst"), "dir")
 

@@ -21,36 +21,56 @@ def reference_bank(vectors: DataFrame, label: str, order: str, k: int) -> DataFr
 def score_candidates(asked: DataFrame, bank: DataFrame, key: str, vector: str, label: str, k: int = 3, block: int = 10_000) -> DataFrame:
     """Per query the k labels with the highest dot product over their references, clamped to [0, 1], to four places.
 
-    The bank is a stated set (some vectors per label); it is sent to the tasks in blocks of whole labels, about
-    ``block`` vectors each, and the queries stream past every block once.
+    A bank of at most ``block`` vectors is sent to the tasks and the queries stream past it. A larger one is cut into
+    blocks of whole labels, each of which meets each block of queries in a task of its own; the best of all blocks are
+    taken at the end. Vectors of another length than the bank's first, by label, have no candidates.
     """
     n = bank.count()
-    blocks = max(1, -(-n // block))
-    refs = bank.select(F.col(label).alias("candidate"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(label), F.lit(blocks)).alias("part"))
+    refs = bank.select(F.col(label).alias("candidate"), F.col(vector).cast("array<double>").alias("v")).where("v IS NOT NULL AND candidate IS NOT NULL")
     kinds = dict(asked.dtypes)[key], dict(refs.dtypes)["candidate"]
     arrow = to_arrow_type(refs.schema["candidate"].dataType)
-    best = None
-    for part in range(blocks):
-        rows = refs.where(F.col("part") == part).orderBy("candidate").collect()
-        if not rows:
-            continue
-        names, first = np.unique(np.array([r.candidate for r in rows]), return_index=True)
-        held = np.array([r.v for r in rows]).T
-
-        def score(batches: Iterator[pa.RecordBatch], names=names, first=first, held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, held.shape[0])
-                top = np.maximum.reduceat(x @ held, first, axis=1)
-                top = np.floor(np.clip(top, 0, 1) * 1e4 + 0.5) / 1e4
-                at = np.argsort(-top, axis=1, kind="stable")[:, :k]
-                row = np.repeat(np.arange(len(x)), at.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(names[at.ravel()]).cast(arrow), pa.array(np.take_along_axis(top, at, 1).ravel())], names=[key, "candidate", "score"])
-
-        whole = asked.where(F.size(vector) == held.shape[0]).select(key, F.col(vector).cast("array<double>").alias("v"))
-        scored = whole.mapInArrow(score, f"{key} {kinds[0]}, candidate {kinds[1]}, score double")
-        best = scored if best is None else best.unionByName(scored)
-    if best is None:
+    schema = f"{key} {kinds[0]}, candidate {kinds[1]}, score double"
+    head = refs.select("candidate", F.size("v").alias("d")).orderBy("candidate", "d").first()
+    if head is None:
         return asked.limit(0).select(key, F.lit(None).cast(kinds[1]).alias("candidate"), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    refs = refs.where(F.size("v") == head.d)
+    whole = asked.where(F.size(vector) == head.d).select(key, F.col(vector).cast("array<double>").alias("v"))
+
+    def best_of(ids: pa.Array, vectors: pa.Array, names: np.ndarray, first: np.ndarray, held: np.ndarray) -> list[pa.Array]:
+        x = vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, held.shape[0])
+        top = np.maximum.reduceat(x @ held, first, axis=1)
+        top = np.floor(np.clip(top, 0, 1) * 1e4 + 0.5) / 1e4
+        at = np.argsort(-top, axis=1, kind="stable")[:, :k]
+        row = np.repeat(np.arange(len(x)), at.shape[1])
+        return [ids.take(pa.array(row)), pa.array(names[at.ravel()]).cast(arrow), pa.array(np.take_along_axis(top, at, 1).ravel())]
+
+    def laid_out(candidates: list, vectors: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = sorted(range(len(candidates)), key=candidates.__getitem__)
+        names, first = np.unique(np.array([candidates[i] for i in order]), return_index=True)
+        return names, first, np.array([vectors[i] for i in order]).T
+
+    if n <= block:
+        rows = refs.collect()  # ``block`` vectors at most
+        bench = laid_out([r.candidate for r in rows], [r.v for r in rows])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays(best_of(batch.column(0), batch.column(1), *bench), names=[key, "candidate", "score"])
+
+        best = whole.mapInArrow(score, schema)
+    else:
+        banks, queries = -(-n // block), max(1, -(-whole.count() // (4 * block)))
+        left = whole.select(key, "v", F.pmod(F.xxhash64(key), F.lit(queries)).alias("q"), F.explode(F.sequence(F.lit(0), F.lit(banks - 1))).alias("part"))
+        right = refs.select("candidate", "v", F.explode(F.sequence(F.lit(0), F.lit(queries - 1))).alias("q"), F.pmod(F.xxhash64("candidate"), F.lit(banks)).alias("part"))
+
+        def meet(asking: pa.Table, held: pa.Table) -> pa.Table:
+            out = [pa.array([], asking.schema.field(key).type), pa.array([], arrow), pa.array([], pa.float64())]
+            if asking.num_rows and held.num_rows:
+                bench = laid_out(held["candidate"].to_pylist(), held["v"].to_pylist())
+                out = best_of(asking[key].combine_chunks(), asking["v"].combine_chunks(), *bench)
+            return pa.table(dict(zip([key, "candidate", "score"], out)))
+
+        best = left.groupBy("q", "part").cogroup(right.groupBy("q", "part")).applyInArrow(meet, schema)
     return top_per_group(best, [key], [F.desc("score"), F.col("candidate")], k, "rank")
 
 

@@ -57,12 +57,13 @@ def q01(spark, d):
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, CAST(length(w) + 2 AS BIGINT)), lambda i: substring('  ' || w || ' ', CAST(i AS BIGINT), 3)))))"
 _SIM = "(len(list_intersect({0}, {1})) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))))"
-SEARCHES = ("smal rng", "red widget", "hot", "bleu plate", "large rods")
-_ASKED = "(VALUES " + ", ".join(f"('{s}')" for s in SEARCHES) + ") asked(q)"
+#: The query set: the names of the parts whose id is divisible by 50, without their third letter.
+_ASKED = "(SELECT DISTINCT substring(p_name, 1, 2) || substring(p_name, 4) AS q FROM part WHERE p_partkey % 50 = 0) asked"
 
 
-def _asked(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in SEARCHES], "q string")
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    damaged = F.concat(F.substring("p_name", 1, 2), F.substr("p_name", F.lit(4)))
+    return table(spark, d, "part").where("p_partkey % 50 = 0").select(damaged.alias("q")).distinct()
 
 
 @query(
@@ -73,7 +74,7 @@ SELECT q, p_partkey, p_name, round(sim, 6) AS sim, rank FROM r WHERE rank <= 10"
 )
 def q02(spark, d):
     part = table(spark, d, "part").select("p_partkey", "p_name")
-    near = resolve.trigram_join(_asked(spark), "q", part, "p_name", 0.3).join(part, "p_name")
+    near = resolve.trigram_join(_asked(spark, d), "q", part, "p_name", 0.3).join(part, "p_name")
     best = dedupe.top_per_group(near, ["q"], [F.desc("sim"), F.col("p_partkey")], 10, "rank")
     return best.select("q", "p_partkey", "p_name", F.round("sim", 6).alias("sim"), "rank")
 
@@ -86,7 +87,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY tier, sim DESC, p_nam
 SELECT q, p_name, tier, round(sim, 6) AS sim FROM r WHERE n = 1""",
 )
 def q03(spark, d):
-    return resolve.tiered_resolve(_asked(spark), "q", table(spark, d, "part"), "p_name").select("q", "p_name", "tier", F.round("sim", 6).alias("sim"))
+    return resolve.tiered_resolve(_asked(spark, d), "q", table(spark, d, "part"), "p_name").select("q", "p_name", "tier", F.round("sim", 6).alias("sim"))
 
 
 @query(
@@ -117,7 +118,7 @@ SELECT q, p_name, score, rank FROM k WHERE rank <= 5""",
 def q05(spark, d):
     # A stated query set against all distinct names.
     names = table(spark, d, "part").select("p_name").distinct()
-    asked = names.withColumn("q", F.explode(F.array(*map(F.lit, SEARCHES))))
+    asked = names.crossJoin(_asked(spark, d))
     scored = asked.withColumn("score", F.round(similarity.token_sort_ratio(F.col("q"), F.col("p_name")), 6))
     return dedupe.top_per_group(scored, ["q"], [F.desc("score"), F.col("p_name")], 5, "rank").select("q", "p_name", "score", "rank")
 
@@ -514,24 +515,16 @@ def q39(spark, d):
     return profiles.bio_tags(rows, "row_id", F.col("brand_name"), F.coalesce("category", F.lit("")) != "")
 
 
-_BLOCKS = """blocks AS (SELECT user_id AS page, event_id AS block, hour(ts) * 60 + minute(ts) AS x1, hour(ts) * 60 + minute(ts) + 1 + event_id % 60 AS x2,
-  (event_id * 7) % 500 AS y1, (event_id * 7) % 500 + 10 + event_id % 30 AS y2 FROM events WHERE day(ts) = 3)"""
+_BLOCKS = """blocks AS (SELECT coalesce(CAST(user_id AS VARCHAR), '?') || ':' || coalesce(strftime(ts, '%Y-%m-%d'), '?') AS page, event_id AS block, hour(ts) * 60 + minute(ts) AS x1, hour(ts) * 60 + minute(ts) + 1 + event_id % 60 AS x2,
+  (event_id * 7) % 500 AS y1, (event_id * 7) % 500 + 10 + event_id % 30 AS y2 FROM events)"""
 
 
 def _blocks(spark: SparkSession, d: str) -> DataFrame:
-    """The events of the third of a month, as the twins have them; a page is a user."""
-    return _as_blocks(table(spark, d, "events").where(F.dayofmonth("ts") == 3), F.col("user_id"))
-
-
-def _day_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """All events; a page is a user's day."""
+    """All events as boxes; a page is a user's day."""
     part = lambda c: F.coalesce(c.cast("string"), F.lit("?"))
-    return _as_blocks(table(spark, d, "events"), F.concat_ws(":", part(F.col("user_id")), part(F.to_date("ts"))))
-
-
-def _as_blocks(rows: DataFrame, page: Column) -> DataFrame:
+    page = F.concat_ws(":", part(F.col("user_id")), part(F.to_date("ts")))
     x, y = F.hour("ts") * 60 + F.minute("ts"), F.col("event_id") * 7 % 500
-    return rows.select(page.alias("page"), F.col("event_id").alias("block"), x.cast("bigint").alias("x1"), (x + 1 + F.col("event_id") % 60).alias("x2"), y.alias("y1"), (y + 10 + F.col("event_id") % 30).alias("y2"))
+    return table(spark, d, "events").select(page.alias("page"), F.col("event_id").alias("block"), x.cast("bigint").alias("x1"), (x + 1 + F.col("event_id") % 60).alias("x2"), y.alias("y1"), (y + 10 + F.col("event_id") % 30).alias("y2"))
 
 
 @query(
@@ -568,21 +561,6 @@ def q42(spark, d):
     return layout.neighbours(_blocks(spark, d), "page", "block", "x1", "x2", "y1", "y2")
 
 
-@query("q57_gaps_by_day")
-def q57(spark, d):
-    return layout.gaps(_day_blocks(spark, d), "page", "x1", "x2", ["block"], 3)
-
-
-@query("q58_nearest_anchor_by_day")
-def q58(spark, d):
-    return _anchored(_day_blocks(spark, d))
-
-
-@query("q59_neighbours_by_day")
-def q59(spark, d):
-    return layout.neighbours(_day_blocks(spark, d), "page", "block", "x1", "x2", "y1", "y2")
-
-
 @query("q43_consensus")
 def q43(spark, d):
     """Votes over the sample texts of each product; rows only, as clusters depend on order."""

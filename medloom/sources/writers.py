@@ -1,9 +1,13 @@
-"""Sinks: swapped overwrites, upserts, appends, step files. Every write is whole or not at all."""
+"""Sinks: versioned tables, upserts, appends, step files.
+
+A versioned table is a folder of versions and a pointer to the current one. A new
+version is written whole beside the others; then the pointer is exchanged in one
+rename, through the file system that the path belongs to. Readers see the old
+version or the new one; the version before the current one stays for those still reading it.
+"""
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 from collections.abc import Sequence
 
@@ -12,37 +16,77 @@ from pyspark.sql import functions as F
 
 from medloom.operators.dedupe import last_wins, merge_into, replace_children
 
+POINTER = "_CURRENT"
 
-def swap(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Overwrites a table of a local or mounted folder: written beside it, then renamed into place.
 
-    ``df`` may read the old table.
-    """
-    new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(new)
-    if os.path.exists(path):
-        os.rename(path, old)
-    os.rename(new, path)
-    shutil.rmtree(old, ignore_errors=True)
+def _files(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path
 
 
-def reload(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
-    """Replaces several tables together: all are written before the first is renamed."""
-    staged = {name: f"{folder}/{name}.new-{uuid.uuid4().hex}" for name in tables}
+def version_of(spark: SparkSession, folder: str) -> list[str]:
+    """The current version and the one before it; empty where there is none yet."""
+    files, Path = _files(spark, folder)
+    pointer = Path(folder, POINTER)
+    if not files.exists(pointer):
+        return []
+    stream = files.open(pointer)
+    try:
+        return bytes(stream.readAllBytes()).decode().split()
+    finally:
+        stream.close()
+
+
+def _point(spark: SparkSession, folder: str, versions: list[str]) -> None:
+    files, Path = _files(spark, folder)
+    fresh = Path(folder, f"_{uuid.uuid4().hex}")
+    stream = files.create(fresh)
+    stream.write("\n".join(versions).encode())
+    stream.close()
+    jvm, fs = spark._jvm, spark._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+    how[0] = getattr(fs, "Options$Rename").OVERWRITE
+    context = fs.FileContext.getFileContext(files.getUri(), jvm.org.apache.hadoop.conf.Configuration(spark._jsc.hadoopConfiguration()))
+    context.rename(files.makeQualified(fresh), files.makeQualified(Path(folder, POINTER)), how)
+
+
+def publish(spark: SparkSession, tables: dict[str, DataFrame], folder: str, partition_by: Sequence[str] = ()) -> None:
+    """New versions of all ``tables`` of a folder at once: one pointer stands for all. They may read the current versions."""
+    version, before = f"v-{uuid.uuid4().hex}", version_of(spark, folder)
     for name, df in tables.items():
-        df.write.parquet(staged[name])
-    for name, new in staged.items():
-        path = f"{folder}/{name}"
-        shutil.rmtree(path, ignore_errors=True)
-        os.rename(new, path)
+        df.write.partitionBy(*partition_by).parquet(f"{folder}/{version}/{name}")
+    _point(spark, folder, [version, *before[:1]])
+    if len(before) > 1:
+        files, Path = _files(spark, folder)
+        files.delete(Path(folder, before[1]), True)
+
+
+def current(spark: SparkSession, folder: str, name: str = "data") -> DataFrame | None:
+    """The current version of a table; None where there is none yet."""
+    versions = version_of(spark, folder)
+    return spark.read.parquet(f"{folder}/{versions[0]}/{name}") if versions else None
+
+
+def swap(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Overwrites a versioned table, which ``df`` may read."""
+    publish(df.sparkSession, {"data": df}, path, partition_by)
+
+
+def reload(spark: SparkSession, tables: dict[str, DataFrame], folder: str) -> None:
+    """Replaces several tables together: readers see all old or all new ones (``current(spark, folder, name)``)."""
+    publish(spark, tables, folder)
 
 
 def upsert(spark: SparkSession, changes: DataFrame, path: str, keys: Sequence[str], version: str) -> None:
-    """Changes replace rows of equal key, the highest version winning."""
-    if os.path.exists(path):
-        swap(merge_into(spark.read.parquet(path), changes, keys, version), path)
-    else:
-        swap(last_wins(changes, keys, [version]).select(*changes.columns), path)
+    """Changes replace rows of equal key, the highest version winning. Every call writes the table anew: for a stream, size its batches by that."""
+    held = current(spark, path)
+    swap(last_wins(changes, keys, [version]).select(*changes.columns) if held is None else merge_into(held, changes, keys, version), path)
+
+
+def replace_of_parents(spark: SparkSession, children: DataFrame, path: str, parent: str) -> None:
+    """All children of the parents given are exchanged."""
+    held = current(spark, path)
+    swap(children if held is None else replace_children(held, children, parent), path)
 
 
 def with_ttl(df: DataFrame, now: str, days: int) -> DataFrame:
@@ -51,11 +95,6 @@ def with_ttl(df: DataFrame, now: str, days: int) -> DataFrame:
     return df.withColumns({"cached_at": at, "expires_at": at + F.make_dt_interval(days=F.lit(days))})
 
 
-def replace_of_parents(spark: SparkSession, children: DataFrame, path: str, parent: str) -> None:
-    """All children of the parents given are exchanged."""
-    swap(replace_children(spark.read.parquet(path), children, parent) if os.path.exists(path) else children, path)
-
-
 def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

@@ -83,11 +83,11 @@ def test_layout_queries_take_every_day(spark, tmp_path):
     df = spark.createDataFrame(events, "event_id long, user_id long, ts string")
     df.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
     ask = lambda name: registry.queries()[name](spark, str(tmp_path))
-    assert {(r.page, r.edge, r.next) for r in ask("q57_gaps_by_day").collect()} == {("1:2024-01-04", 486, 570), ("1:2024-01-05", 488, 510)}
-    assert {(r.page, r.block, r.anchor) for r in ask("q58_nearest_anchor_by_day").collect()} == {
+    assert {(r.page, r.edge, r.next) for r in ask("q40_gaps").collect()} == {("1:2024-01-04", 486, 570), ("1:2024-01-05", 488, 510)}
+    assert {(r.page, r.block, r.anchor) for r in ask("q41_nearest_anchor").collect()} == {
         ("1:2024-01-04", 5, 5), ("1:2024-01-04", 6, 5), ("1:2024-01-05", 7, None), ("1:2024-01-05", 76, None), ("2:2024-01-03", 10, 10),
     }
-    assert {(r.page, r.src, r.dst, r.dir) for r in ask("q59_neighbours_by_day").collect()} == {("1:2024-01-04", 5, 6, "right"), ("1:2024-01-05", 7, 76, "right")}
+    assert {(r.page, r.src, r.dst, r.dir) for r in ask("q42_neighbours").collect()} == {("1:2024-01-04", 5, 6, "right"), ("1:2024-01-05", 7, 76, "right")}
 
 
 def test_layout(spark):
@@ -162,3 +162,72 @@ def test_scanned_name_finds_its_entry(spark):
     asked = spark.createDataFrame([("Losartan ( Cozaar 50 mg ) 50 mg",), ("zzz",)], "q string")
     best = resolve.best_variant(asked, "q", names, "search_key").collect()
     assert len(best) == 1 and best[0].search_key in {"losartan 50mg", "cozaar 50mg", "cozaar"} and best[0].score >= 0.65
+
+
+def test_severity_groups_are_in_order(spark):
+    from medloom.operators.pairs import severity_groups, severity_per_item
+
+    rows = [("r", "a", "b", "Nghiêm trọng", "major"), ("r", "a", "c", "Đặc biệt", "unknown"), ("r", "c", "d", "Dè dặt", "unknown"), ("r", "a", "d", "Đặc biệt", "unknown"), ("s", "x", "y", "Em", "unknown")]
+    found = spark.createDataFrame(rows, "request string, drug_a string, drug_b string, severity_text string, severity string")
+    got = [(r.request, r.place, r.severity_text, r.n, [tuple(i) for i in r.interactions]) for r in severity_groups(found, "request").orderBy("request", "place").collect()]
+    # d comes before đ in Vietnamese, and both before e.
+    assert got == [("r", 1, "Nghiêm trọng", 1, [("a", "b")]), ("r", 2, "Dè dặt", 1, [("c", "d")]), ("r", 3, "Đặc biệt", 2, [("a", "c"), ("a", "d")]), ("s", 1, "Em", 1, [("x", "y")])]
+    assert {(r.drug, r.highest, r.n) for r in severity_per_item(found.where("request = 'r'"), "request").collect()} == {("a", "major", 3), ("b", "major", 1), ("c", "unknown", 2), ("d", "unknown", 2)}
+
+
+def test_two_scorers(spark):
+    from medloom.operators.resolve import catalogue_with_fallback, two_scorers
+
+    names = spark.createDataFrame([("paracetamol 500mg",), ("panadol extra",), ("losartan",), (None,)], "entry string")
+    asked = spark.createDataFrame([("500mg Paracetamol",), ("Losartan 50",), ("xyz",), ("no such thing",), (None,), ("Losartan 50",)], "q string")
+    got = {r.q: (r.entry, r.score) for r in two_scorers(asked, "q", names, "entry").collect()}
+    assert got["500mg Paracetamol"] == ("paracetamol 500mg", 100.0) and got["Losartan 50"][0] == "losartan" and len(got) == 2
+    cached = spark.createDataFrame([("Losartan", "2026-02-01"), ("Panadol", "2025-01-01")], "name string, t string").select("name", F.to_timestamp("t").alias("expires_at"))
+    wanted = spark.createDataFrame([("losartan",), ("panadol",), ("zzz",)], "q string")
+    tiers = {r.q: (r.name, r.tier) for r in catalogue_with_fallback(wanted, "q", cached, "name", F.lit("2026-01-01").cast("timestamp")).collect()}
+    assert tiers == {"losartan": ("Losartan", 0), "panadol": ("Panadol", 1)}
+
+
+def test_inference_interface(spark):
+    from medloom.operators import inference
+
+    def load():
+        import pandas as pd
+
+        def model(batch):
+            out = batch.loc[batch.index.repeat(2)]
+            return pd.DataFrame({"label": out["text"].str.upper(), "confidence": [0.5] * len(out)}, index=out.index)
+
+        return model
+
+    df = spark.createDataFrame([(k, f"t{k}", "z") for k in range(150)], "id long, text string, label string")
+    got = inference.apply(df, load, ["text"], "text_classify", keep=["id"], batch=7)
+    assert got.columns == ["id", "label", "confidence"] and got.count() == 300
+    assert {(r.id, r.label) for r in got.collect()} == {(k, f"T{k}") for k in range(150)}
+    assert inference.apply(df.limit(0), load, ["text"], "text_classify", keep=["id"]).count() == 0
+
+
+def test_convergence_reasons(spark):
+    from medloom.operators.sessions import convergence
+
+    scans = [("bad", k, True) for k in range(3)] + [("good", k, False) for k in range(3)] + [("new", k, False) for k in range(2)] + [("one", 0, False)]
+    items = [("good", k, "x", "confirmed", 0.9) for k in range(3)] + [("new", 0, "x", "confirmed", 0.8), ("new", 1, "x", "confirmed", 0.9)] + [("one", 0, "x", "confirmed", 0.9)]
+    s = spark.createDataFrame(scans, "session string, scan int, rejected boolean")
+    i = spark.createDataFrame(items, "session string, scan int, key string, status string, confidence double")
+    got = {r.session: (r.converged, r.reason) for r in convergence(s, i, "session", "scan", [F.desc("scan")]).collect()}
+    assert got == {"bad": (False, "repeated_bad_images"), "good": (True, "stable_high_confidence"), "new": (False, None), "one": (False, None)}
+    assert convergence(s.limit(0), i, "session", "scan", [F.desc("scan")]).count() == 0
+
+
+def test_candidates_in_blocks_are_the_same(spark):
+    import numpy as np
+
+    from medloom.operators.matching import score_candidates
+
+    rng = np.random.default_rng(0)
+    rows = [(k, f"l{k % 7}", [float(v) for v in rng.normal(size=6) / 3]) for k in range(60)]
+    bank = spark.createDataFrame(rows, "id long, label string, v array<float>")
+    asked = bank.select("id", "v").union(spark.createDataFrame([(900, [1.0]), (901, None)], "id long, v array<float>"))
+    whole, parts = (sorted(map(tuple, score_candidates(asked, bank, "id", "v", "label", 3, block).collect())) for block in (1000, 8))
+    assert whole == parts and len(whole) == 180
+    assert score_candidates(asked, bank.limit(0), "id", "v", "label").count() == 0

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from medloom.sources import readers, schemas, writers
@@ -42,8 +43,27 @@ def test_paged_source(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / f"{n}.json").write_text(json.dumps([{"n": n}, {"n": n * 10}]))
     spark.dataSource.register(readers.PagedSource)
-    rows = spark.read.format("paged").option("path", str(tmp_path)).option("pages", "3").load().orderBy("page", "ordinal").collect()
+    rows = spark.read.format("paged").option("path", str(tmp_path)).option("pages", "2").load().orderBy("page", "ordinal").collect()
     assert [(r.page, r.ordinal, json.loads(r.row)["n"]) for r in rows] == [(1, 0, 1), (1, 1, 10), (2, 0, 2), (2, 1, 20)]
+    landed = spark.read.format("paged").option("path", str(tmp_path)).option("pages", "2").load()
+    assert readers.pages_done(landed) == "1,2"
+    rest = spark.read.format("paged").option("path", str(tmp_path)).option("pages", "2").option("done", "1").load()
+    assert [r.page for r in rest.select("page").distinct().collect()] == [2]
+    named = spark.read.format("paged").option("path", "x").option("pages", "1").option("fetch", "operator:concat_page").load()
+    with pytest.raises(Exception, match="concat_page"):
+        named.collect()
+    with pytest.raises(Exception, match="3.json"):  # a missing page is an error, not an empty one
+        spark.read.format("paged").option("path", str(tmp_path)).option("pages", "3").option("pause", "0.01").load().collect()
+
+
+def test_lookups_and_pages(spark, tmp_path):
+    (tmp_path / "l.json").write_text('{"name":"a","at":"1","answer":{"n":1}}\n{"name":"a","at":"2","answer":{"n":2}}\n{"name":"b","answer":"broken"}\n{"x":1}\n')
+    got = {r.name: r.answer.n if r.answer else None for r in readers.lookups(spark, str(tmp_path / "l.json"), "name", "struct<n:int>").collect()}
+    assert got == {"a": 2, "b": None}
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "x.html").write_text("<title>T</title>\n<p>")
+    row = readers.html_pages(spark, str(tmp_path / "p")).first()
+    assert row.url.endswith("x.html") and row.html.startswith("<title>")
 
 
 def test_upsert_is_idempotent(spark, tmp_path):
@@ -52,11 +72,25 @@ def test_upsert_is_idempotent(spark, tmp_path):
     two = spark.createDataFrame([("k", 2, "b"), ("l", 1, "c")], "k string, n int, v string")
     for change in (one, two, two, one):
         writers.upsert(spark, change, path, ["k"], "n")
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("k", 2, "b"), ("l", 1, "c")]
+    assert sorted(tuple(r) for r in writers.current(spark, path).collect()) == [("k", 2, "b"), ("l", 1, "c")]
     writers.replace_of_parents(spark, one, path, "k")
-    assert sorted(r.v for r in spark.read.parquet(path).collect()) == ["a", "c"]
-    writers.reload(spark, {"x": one, "y": two}, str(tmp_path))
-    assert spark.read.parquet(str(tmp_path / "y")).count() == 2
+    assert sorted(r.v for r in writers.current(spark, path).collect()) == ["a", "c"]
+    folder = str(tmp_path / "many")
+    assert writers.current(spark, folder, "y") is None
+    for tables in ({"x": one, "y": two}, {"x": two, "y": one}, {"x": one, "y": two}):
+        writers.reload(spark, tables, folder)
+    assert writers.current(spark, folder, "y").count() == 2 and writers.current(spark, folder, "x").count() == 1
+    assert len([p for p in (tmp_path / "many").iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_a_failed_write_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    good = spark.createDataFrame([("k", 1)], "k string, n int")
+    writers.swap(good, path)
+    bad = good.withColumn("n", F.raise_error(F.lit("broken")).cast("int"))
+    with pytest.raises(Exception, match="broken"):
+        writers.reload(spark, {"data": bad}, path)
+    assert [tuple(r) for r in writers.current(spark, path).collect()] == [("k", 1)]
 
 
 def test_flags(spark):
