@@ -123,16 +123,23 @@ def color_of_excipients(text: Column) -> Column:
     return F.when(F.size(found) == 0, "").when(F.size(found) == 1, found[0]).otherwise(F.coalesce(F.try_element_at(other, F.lit(1)), F.lit("white")))
 
 
+# Lines that are no drug names: whole lines, a bare number, a form with a count, a dosage.
+NOT_NAMES = ("viên sủi", "vien sui")
+NUMBER_LINE = r"^[\d\s.,]+$"
+FORM_LINE = r"(?iu)^(viên\s+sủi|viên|ống|lọ|tab|gói)(\s+[\d\s]*)?$"
+DOSAGE_LINE = r"(?i)^[\d\s.,]*(mg|ml|mcg|g|iu)\b"
+
+
 def likely_drug(text: Column) -> Column:
     """Whether a scanned line can be a drug name, rather than usage, a number, a unit, a dosage or a header."""
     t = F.trim(F.coalesce(text, F.lit("")))
     bad = (
         (F.length(t) < 4)
-        | F.lower(t).isin("viên sủi", "vien sui")
+        | F.lower(t).isin(*NOT_NAMES)
         | t.rlike(f"(?iu)({USAGE_WORDS})")
-        | t.rlike(r"^[\d\s.,]+$")
-        | t.rlike(r"(?iu)^(viên\s+sủi|viên|ống|lọ|tab|gói)(\s+[\d\s]*)?$")
-        | t.rlike(r"(?i)^[\d\s.,]*(mg|ml|mcg|g|iu)\b")
+        | t.rlike(NUMBER_LINE)
+        | t.rlike(FORM_LINE)
+        | t.rlike(DOSAGE_LINE)
         | t.rlike(f"(?iu)({HEADER_WORDS})")
     )
     return ~bad
@@ -175,27 +182,56 @@ def split_row(text: Column) -> Column:
     )
 
 
+# Colors by hue (from, below), saturation (at most) and value (from, at most); the first that fits, else pink.
+HSV = (
+    ("white", None, None, 35, 210, None),
+    ("brown", None, None, None, None, 70),
+    ("gray", None, None, 35, None, None),
+    ("red", None, 8, None, None, None),
+    ("red", 172, None, None, None, None),
+    ("orange", None, 18, None, None, None),
+    ("yellow", None, 35, None, None, None),
+    ("green", None, 78, None, None, None),
+    ("blue", None, 120, None, None, None),
+    ("purple", None, 150, None, None, None),
+)
+# Shapes by aspect (from, at most) and circularity (from); the first that fits, else tablet.
+CONTOURS = (("capsule", 1.85, None, 0.65), ("round", None, 1.2, 0.82), ("oblong", 1.35, None, None))
+# Sharpness below, and glare above, which an image is rejected or warned of.
+IMAGE_LIMITS = {"reject_blur": 55, "reject_glare": 0.22, "warn_blur": 90, "warn_glare": 0.12}
+# The same of the phone's own gate, by edge strength; cut images need more, short sides are warned of.
+PHONE_LIMITS = {"reject_edge": 10, "reject_edge_cut": 14, "reject_glare": 0.2, "warn_edge": 16, "warn_glare": 0.1, "warn_side": 1000}
+
+
+def _all(*conditions: Column | None) -> Column:
+    return reduce(Column.__and__, [c for c in conditions if c is not None], F.lit(True))
+
+
 def color_of_hsv(hue: Column, sat: Column, val: Column) -> Column:
-    dark_or_pale = [((val >= 210) & (sat <= 35), "white"), (val <= 70, "brown"), (sat <= 35, "gray"), ((hue < 8) | (hue >= 172), "red")]
-    bands = [(hue < top, name) for top, name in ((18, "orange"), (35, "yellow"), (78, "green"), (120, "blue"), (150, "purple"))]
-    return cascade(dark_or_pale + bands, "pink")
+    bound = lambda limit, test: None if limit is None else test(limit)
+    fits = lambda r: _all(bound(r[1], hue.__ge__), bound(r[2], hue.__lt__), bound(r[3], sat.__le__), bound(r[4], val.__ge__), bound(r[5], val.__le__))
+    return cascade([(fits(row), row[0]) for row in HSV], "pink")
 
 
 def shape_of_contour(aspect: Column, circularity: Column) -> Column:
-    return cascade([((aspect >= 1.85) & (circularity >= 0.65), "capsule"), ((circularity >= 0.82) & (aspect <= 1.2), "round"), (aspect >= 1.35, "oblong")], "tablet")
+    bound = lambda limit, test: None if limit is None else test(limit)
+    return cascade([(_all(bound(low, aspect.__ge__), bound(high, aspect.__le__), bound(least, circularity.__ge__)), name) for name, low, high, least in CONTOURS], "tablet")
 
 
 def image_quality(blur: Column, glare: Column, cut: Column) -> Column:
     """GOOD, WARNING or REJECT, with the reason."""
-    state = cascade([(blur < 55, "REJECT"), (glare > 0.22, "REJECT"), (cut, "WARNING"), ((blur < 90) | (glare > 0.12), "WARNING")], "GOOD")
-    reason = cascade([(blur < 55, "BLURRY_IMAGE"), (glare > 0.22, "GLARE_IMAGE"), (cut, "CONTENT_CUTOFF")], F.lit(None).cast("string"))
+    t = IMAGE_LIMITS
+    blurred, glaring = blur < t["reject_blur"], glare > t["reject_glare"]
+    state = cascade([(blurred | glaring, "REJECT"), (cut | (blur < t["warn_blur"]) | (glare > t["warn_glare"]), "WARNING")], "GOOD")
+    reason = cascade([(blurred, "BLURRY_IMAGE"), (glaring, "GLARE_IMAGE"), (cut, "CONTENT_CUTOFF")], F.lit(None).cast("string"))
     return F.struct(state.alias("state"), reason.alias("reason"))
 
 
 def phone_quality(edge: Column, glare: Column, cut: Column, side: Column) -> Column:
     """The phone's own, coarser gate."""
-    reject = (edge < 10) | (glare > 0.2) | (cut & (edge < 14))
-    return F.when(reject, "REJECT").when((edge < 16) | (glare > 0.1) | (side < 1000), "WARNING").otherwise("GOOD")
+    t = PHONE_LIMITS
+    reject = (edge < t["reject_edge"]) | (glare > t["reject_glare"]) | (cut & (edge < t["reject_edge_cut"]))
+    return F.when(reject, "REJECT").when((edge < t["warn_edge"]) | (glare > t["warn_glare"]) | (side < t["warn_side"]), "WARNING").otherwise("GOOD")
 
 
 def visual_hints(colors: Column, shape_text: Column, form: Column) -> Column:
@@ -214,16 +250,35 @@ def visual_hints(colors: Column, shape_text: Column, form: Column) -> Column:
     return F.struct(clean.alias("colors"), shapes.alias("shapes"), kind.alias("form"))
 
 
+# What an agreement or difference of seen and listed color, shape and form adds to a match score, and how it is
+# worded ('{}' is what was seen).
+OUTCOMES = {
+    "color": {"same": (0.08, "màu khớp: {}"), "other": (-0.04, "màu lệch: {}")},
+    "shape": {"same": (0.06, "dáng khớp: {}"), "near capsule": (0.02, "dáng gần giống capsule"), "near tablet": (0.01, "dáng gần giống viên nén"), "other": (-0.03, "dáng lệch: {}")},
+    "form": {"same": (0.05, "dạng bào chế khớp: {}"), "other": (-0.05, "dạng bào chế lệch: {}")},
+}
+
+
+def _outcomes(hints: Column, color: Column, shape: Column, form: Column) -> dict[str, tuple[Column, Column]]:
+    """Per aspect how seen and listed compare (null where either is unknown or the difference says nothing), and what was seen."""
+    colors, shapes, kind = hints["colors"], hints["shapes"], hints["form"]
+    by_color = F.when((F.size(colors) > 0) & color.isNotNull(), F.when(F.array_contains(colors, color), "same").when(~color.isin("gray", "white"), "other"))
+    near = F.when((shape == "oblong") & F.array_contains(shapes, "capsule"), "near capsule").when((shape == "tablet") & F.array_contains(shapes, "round"), "near tablet")
+    by_shape = F.when((F.size(shapes) > 0) & shape.isNotNull(), F.when(F.array_contains(shapes, shape), "same").otherwise(F.coalesce(near, F.lit("other"))))
+    by_form = F.when(form.isNotNull() & kind.isNotNull(), F.when(form == kind, "same").otherwise("other"))
+    return {"color": (by_color, color), "shape": (by_shape, shape), "form": (by_form, form)}
+
+
 def visual_adjustment(hints: Column, color: Column, shape: Column, form: Column) -> Column:
     """What seen color, shape and form add to or take from a match score; nothing where either side is unknown."""
-    colors, shapes, kind = hints["colors"], hints["shapes"], hints["form"]
-    by_color = F.when((F.size(colors) == 0) | color.isNull(), 0.0).when(F.array_contains(colors, color), 0.08).when(color.isin("gray", "white"), 0.0).otherwise(-0.04)
-    by_shape = (
-        F.when((F.size(shapes) == 0) | shape.isNull(), 0.0)
-        .when(F.array_contains(shapes, shape), 0.06)
-        .when((shape == "oblong") & F.array_contains(shapes, "capsule"), 0.02)
-        .when((shape == "tablet") & F.array_contains(shapes, "round"), 0.01)
-        .otherwise(-0.03)
-    )
-    by_form = F.when(form.isNull() | kind.isNull(), 0.0).when(form == kind, 0.05).otherwise(-0.05)
-    return F.round(by_color + by_shape + by_form, 4)
+    found = _outcomes(hints, color, shape, form)
+    points = [cascade([(found[aspect][0] == name, p) for name, (p, _) in table.items()], 0.0) for aspect, table in OUTCOMES.items()]
+    return F.round(reduce(Column.__add__, points), 4)
+
+
+def visual_reasons(hints: Column, color: Column, shape: Column, form: Column) -> Column:
+    """Why a score is adjusted, in words; empty where nothing is known."""
+    found = _outcomes(hints, color, shape, form)
+    none = F.lit(None).cast("string")
+    said = [cascade([(found[aspect][0] == name, F.replace(F.lit(words), F.lit("{}"), found[aspect][1])) for name, (_, words) in table.items()], none) for aspect, table in OUTCOMES.items()]
+    return F.array_compact(F.array(*said))

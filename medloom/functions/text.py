@@ -136,6 +136,10 @@ def without_list_number(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"^\s*\d+(?:[).\-]|(?=\s))\s*", ""))
 
 
+# What containment, each shared word, the first word and a short address add to the fit of an address.
+SLUG_POINTS = {"contains": 4.0, "word": 1.4, "first": 0.8, "short": 0.4}
+
+
 def slug_score(query: Column, url: Column) -> Column:
     """How well a product address fits a query: containment, shared words, first word, compactness."""
     slug = name_key(F.regexp_replace(F.element_at(F.split(F.regexp_replace(url, "/+$", ""), "/"), -1), r"\.html?$", ""))
@@ -144,10 +148,10 @@ def slug_score(query: Column, url: Column) -> Column:
     shared = F.size(F.filter(asked, lambda t: F.array_contains(has, t)))
     first = F.coalesce(F.array_contains(has, F.try_element_at(asked, F.lit(1))), F.lit(False))
     score = (
-        F.when(slug.contains(name_key(query)), 4.0).otherwise(0.0)
-        + shared * 1.4
-        + F.when(first, 0.8).otherwise(0.0)
-        + F.when((shared > 0) & (F.size(has) <= F.size(asked) + 6), 0.4).otherwise(0.0)
+        F.when(slug.contains(name_key(query)), SLUG_POINTS["contains"]).otherwise(0.0)
+        + shared * SLUG_POINTS["word"]
+        + F.when(first, SLUG_POINTS["first"]).otherwise(0.0)
+        + F.when((shared > 0) & (F.size(has) <= F.size(asked) + 6), SLUG_POINTS["short"]).otherwise(0.0)
     )
     return F.when(F.size(asked) == 0, 0.0).otherwise(F.round(score, 4))
 

@@ -126,6 +126,9 @@ def test_rules(spark):
     assert value(spark, rules.shape_of_contour(F.lit(1.0), F.lit(0.9))) == "round"
     hints = rules.visual_hints(F.array(F.lit(" Red ")), F.lit("round"), F.lit("viên nén"))
     assert value(spark, rules.visual_adjustment(hints, F.lit("red"), F.lit("round"), F.lit("tablet"))) == pytest.approx(0.19)
+    assert value(spark, rules.visual_reasons(hints, F.lit("red"), F.lit("round"), F.lit("tablet"))) == ["màu khớp: red", "dáng khớp: round", "dạng bào chế khớp: tablet"]
+    assert value(spark, rules.visual_reasons(hints, F.lit("gray"), F.lit(None).cast("string"), F.lit("capsule"))) == ["dạng bào chế lệch: capsule"]
+    assert [value(spark, rules.color_of_hsv(*map(F.lit, c))) for c in ((3.0, 99.0, 99.0), (175.0, 99.0, 99.0), (40.0, 99.0, 99.0), (160.0, 99.0, 99.0), (160.0, 20.0, 220.0), (160.0, 20.0, 100.0), (1.0, 99.0, 60.0))] == ["red", "red", "green", "pink", "white", "gray", "brown"]
     assert value(spark, rules.visual_adjustment(hints, F.lit("gray"), F.lit("capsule"), F.lit(None).cast("string"))) == pytest.approx(-0.03)
 
 
