@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from medloom.functions.rules import SEVERITY, severity, severity_rank
-from medloom.functions.text import name_key, pair_key
+from medloom.functions.text import name_key
+from medloom.runtime import materialise
 
 
 def basket_pairs(items: DataFrame, basket: str, item: str) -> DataFrame:
@@ -15,19 +18,34 @@ def basket_pairs(items: DataFrame, basket: str, item: str) -> DataFrame:
     return one.withColumnRenamed(item, "a").join(one.withColumnRenamed(item, "b"), basket).where("a < b")
 
 
-def ingredient_pairs(drugs: DataFrame, rules: DataFrame) -> DataFrame:
+def ingredient_pairs(drugs: DataFrame, rules: DataFrame, ingredients: Callable[[Column], Column] | None = None, partitions: int | None = None) -> DataFrame:
     """Interactions of two different drugs of one request: both ingredients of a rule, one in each.
 
     ``drugs``: request, drug, ingredient; ``rules``: ingredient_a, ingredient_b, severity_text, dedupe_key. Each pair of
-    drugs comes once per rule.
+    drugs comes once per rule. ``ingredients`` gives the ingredients of a drug as an array where its name holds them; the column
+    ingredient is not read then.
+
+    The drugs are shuffled once, by request; pairs, their rules and what is grouped by request come from there
+    without another shuffle. Rules join by their size as a table, so few are broadcast. As results are many times the drugs, the
+    number of ``partitions`` is best in proportion to these; without one it is Spark's.
     """
-    x = drugs.select("request", F.col("drug").alias("drug_a"), F.col("ingredient").alias("ingredient_a"))
-    y = drugs.select("request", F.col("drug").alias("drug_b"), F.col("ingredient").alias("ingredient_b"))
-    met = x.join(rules, "ingredient_a").join(y, ["request", "ingredient_b"]).where(name_key(F.col("drug_a")) != name_key(F.col("drug_b")))
-    pair = pair_key(name_key(F.col("drug_a")), name_key(F.col("drug_b")))
-    rated = met.withColumn("pair", pair).withColumn("severity", severity(F.col("severity_text")))
-    first = F.min(F.struct("drug_a", "drug_b", "ingredient_a", "ingredient_b", "severity_text", "severity")).alias("i")
-    return rated.groupBy("request", "pair", "dedupe_key").agg(first).select("request", "i.*")
+    item = F.struct("drug", "ingredient") if ingredients is None else F.struct("drug")
+    held = drugs.where("request IS NOT NULL AND drug IS NOT NULL").select("request", item.alias("item"))
+    held = held.repartition("request") if partitions is None else held.repartition(partitions, "request")
+    parts = (lambda i: F.array(i["ingredient"])) if ingredients is None else (lambda i: ingredients(i["drug"]))
+    keyed = F.transform(F.collect_set("item"), lambda i: F.struct(name_key(i["drug"]).alias("key"), i["drug"].alias("drug"), parts(i).alias("ingredients")))
+    baskets = held.groupBy("request").agg(keyed.alias("drugs")).where(F.size("drugs") > 1)
+    first = baskets.select("request", "drugs", F.explode("drugs").alias("x"))
+    both = first.select("request", "x", F.explode(F.filter("drugs", lambda d: d["key"] > F.col("x")["key"])).alias("y"))
+    ends = ["request", F.col("x.key").alias("key_x"), F.col("x.drug").alias("drug_x"), F.col("y.key").alias("key_y"), F.col("y.drug").alias("drug_y")]
+    words = both.select(*ends, F.explode("x.ingredients").alias("of_x"), F.col("y.ingredients").alias("of_y")).withColumn("of_y", F.explode("of_y"))
+    rated = rules.where("ingredient_a IS NOT NULL AND ingredient_b IS NOT NULL").withColumn("severity", severity(F.col("severity_text")))
+    ways = [rated.select("*", F.col(of_x).alias("of_x"), F.col(of_y).alias("of_y"), F.lit(turned).alias("turned")) for of_x, of_y, turned in (("ingredient_a", "ingredient_b", False), ("ingredient_b", "ingredient_a", True))]
+    met = words.join(materialise(ways[0].union(ways[1]), "rules"), ["of_x", "of_y"])
+    drug = lambda one, other: F.when(F.col("turned"), F.col(other)).otherwise(F.col(one))
+    pair = met.withColumns({"drug_a": drug("drug_x", "drug_y"), "drug_b": drug("drug_y", "drug_x")})
+    best = F.min(F.struct("drug_a", "drug_b", "ingredient_a", "ingredient_b", "severity_text", "severity")).alias("i")
+    return pair.groupBy("request", "key_x", "key_y", "dedupe_key").agg(best).select("request", "i.*")
 
 
 def severity_summary(found: DataFrame, by: str, name: str = "severity") -> DataFrame:

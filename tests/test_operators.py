@@ -231,3 +231,36 @@ def test_candidates_in_blocks_are_the_same(spark):
     whole, parts = (sorted(map(tuple, score_candidates(asked, bank, "id", "v", "label", 3, block).collect())) for block in (1000, 8))
     assert whole == parts and len(whole) == 180
     assert score_candidates(asked, bank.limit(0), "id", "v", "label").count() == 0
+
+
+def _interactions(spark):
+    """Drugs of requests, and rules, with spellings, nulls and repeated rows; and the interactions, by brute force."""
+    from itertools import product
+
+    drugs = [("r", "A", "x"), ("r", "A", "y"), ("r", "a", "y"), ("r", "B", "y"), ("r", "B", "x"), ("r", "B", "x"), ("s", "A", "x"), ("s", "C", "z"), ("s", None, "z"), ("t", "A", "x"), (None, "B", "y"), ("s", "D", None), ("u", "?", "x"), ("u", "C", "z")]
+    rules = [("x", "y", "Nghiêm trọng", "k1"), ("y", "x", "Nhẹ", "k1"), ("x", "z", "Nhẹ", "k2"), ("x", "x", "Nhẹ", None), (None, "z", "Nhẹ", "k3")]
+    best = {}
+    for (r, a, i), (q, b, j), (m, n, text, key) in product(drugs, drugs, rules):
+        if r is not None and r == q and None not in (a, b) and i is not None and (i, j) == (m, n):
+            one, other = ("" if d == "?" else d.lower() for d in (a, b))
+            if one != other:
+                group = r, min(one, other), max(one, other), key
+                best[group] = min(best.get(group, (r, a, b, i, j, text)), (r, a, b, i, j, text))
+    frames = spark.createDataFrame(drugs, "request string, drug string, ingredient string"), spark.createDataFrame(rules, "ingredient_a string, ingredient_b string, severity_text string, dedupe_key string")
+    return *frames, sorted(best.values())
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_interactions_equal_brute_force(spark):
+    drugs, rules, expected = _interactions(spark)
+    for n in (None, 3):
+        found = pairs.ingredient_pairs(drugs, rules, partitions=n).select("request", "drug_a", "drug_b", "ingredient_a", "ingredient_b", "severity_text")
+        assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_interaction_groups_shuffle_only_the_drugs(spark):
+    drugs, rules, _ = _interactions(spark)
+    assert _shuffles(pairs.severity_groups(pairs.ingredient_pairs(drugs, rules), "request")) == 1
