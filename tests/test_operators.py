@@ -264,3 +264,11 @@ def test_interactions_equal_brute_force(spark):
 def test_interaction_groups_shuffle_only_the_drugs(spark):
     drugs, rules, _ = _interactions(spark)
     assert _shuffles(pairs.severity_groups(pairs.ingredient_pairs(drugs, rules), "request")) == 1
+
+
+def test_severity_per_drug_shuffles_only_the_drugs(spark):
+    drugs, rules, expected = _interactions(spark)
+    found = pairs.severity_per_item(pairs.ingredient_pairs(drugs, rules), "request")
+    assert _shuffles(found) == 1
+    ends = [(r, d) for r, a, b, *_ in expected for d in (a, b)]
+    assert {(r.request, r.drug, r.n) for r in found.collect()} == {(*e, ends.count(e)) for e in ends}
