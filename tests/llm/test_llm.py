@@ -121,6 +121,20 @@ def test_heap_walk_takes_the_occupied_cells_within_the_gap_in_order():
         assert got == [(i, j) for _, i, j in want]
 
 
+def test_heap_walk_takes_blocks_of_pairs(monkeypatch):
+    from medloom.llm import neighbours
+
+    pops, pop = [], neighbours.heappop
+    monkeypatch.setattr(neighbours, "heappop", lambda heap: pops.append(1) or pop(heap))
+    rng = np.random.default_rng(2)
+    a, b = np.sort(rng.random(300)), np.sort(rng.random(280))
+    order1, order2 = list(range(300)), list(range(280))
+    for gap in (0.3, 9.0):
+        got = neighbours.walk(a.tolist(), b.tolist(), order1, order2, [b"\1" * 280] * 300, gap)
+        assert set(got) == set(zip(*np.nonzero(a[:, None] + b[None, :] <= a[0] + b[0] + gap))) and len(set(got)) == len(got)
+    assert len(pops) < 200  # one by one: more than 84,000
+
+
 # --- problem 2 ------------------------------------------------------------------------------------------------------
 
 DRUG = "id long, name string, usage string, color string, source string, updated_at string, trust_rank int"
